@@ -14,7 +14,7 @@ from harness.inputs import PARAMS
 from seatscope.functions import event_time, rules, text
 from seatscope.operators import activity, clean, denials, matching, metrics, recommend
 from seatscope.params import Exclusions, Params, Source
-from seatscope.plans.review import in_report_order, with_highlight
+from seatscope.plans.review import Inputs, in_report_order, with_highlight
 from seatscope.sources import exclusions, readers
 
 
@@ -177,9 +177,11 @@ class Review:
         )
 
     def parse_event_time(self) -> DataFrame:
-        stripped = text.strip(F.col("Event Time"))
-        cut = event_time.remove_suffixes(stripped, PARAMS.timestamp_suffixes)
-        return self.login_audit.select(cut.alias("event_time_text")).select(
+        texts = self.login_audit.select(text.strip(F.col("Event Time")).alias("event_time_text"))
+        for suffix in PARAMS.timestamp_suffixes:
+            cut = event_time.remove_suffix(F.col("event_time_text"), suffix)
+            texts = texts.withColumn("event_time_text", cut)
+        return texts.select(
             "event_time_text",
             event_time.parse_event_time(F.col("event_time_text")).alias("event_timestamp"),
         )
@@ -458,3 +460,9 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 QUERIES = {name: _query(name) for name in QUERY_NAMES}
+
+
+def review_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
+    """The inputs of a whole run."""
+    review = Review(spark, sf_dir)
+    return Inputs(review.login_audit, review.denial_audit, review.named, review.technicians)

@@ -45,9 +45,18 @@ def _single_character_folds() -> tuple[str, str]:
 _FOLD_FROM, _FOLD_TO = _single_character_folds()
 
 
+def is_ascii(column: Column) -> Column:
+    return F.octet_length(column) == F.char_length(column)
+
+
 def strip(column: Column) -> Column:
-    """Remove leading and trailing whitespace, Unicode whitespace included."""
-    return F.btrim(column, F.lit(WHITESPACE))
+    """Remove leading and trailing whitespace, Unicode whitespace included.
+
+    ASCII text that starts and ends above the space character has nothing to remove; telling so is
+    cheaper than trimming.
+    """
+    bare = (column >= "!") & is_ascii(column) & (F.right(column, F.lit(1)) > " ")
+    return F.when(bare, column).otherwise(F.btrim(column, F.lit(WHITESPACE)))
 
 
 def fold(column: Column) -> Column:
@@ -56,8 +65,7 @@ def fold(column: Column) -> Column:
     folded = F.translate(lowered, _FOLD_FROM, _FOLD_TO)
     for character, expansion in FOLD_EXPANSIONS.items():
         folded = F.replace(folded, F.lit(character), F.lit(expansion))
-    is_ascii = F.octet_length(column) == F.char_length(column)
-    return F.when(is_ascii, lowered).otherwise(folded)
+    return F.when(is_ascii(column), lowered).otherwise(folded)
 
 
 def fold_text(value: str) -> str:

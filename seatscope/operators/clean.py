@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seatscope.functions.event_time import month_of, parse_event_time, remove_suffixes
+from seatscope.functions.event_time import month_of, parse_event_time, remove_suffix
 from seatscope.functions.text import display_name, fold, fold_text, strip
+from seatscope.operators.reshape import compute_once
 from seatscope.params import Exclusions, Params
 from seatscope.sources.readers import DENIAL_COLUMNS, check_columns, empty_table
 
 
-def is_listed(user: Column, exclusions: Exclusions) -> Column:
-    """Whether a user is on the short exclusion lists, as a scan-side filter expression."""
-    folded = fold(user)
+def is_listed(folded_user: Column, exclusions: Exclusions) -> Column:
+    """Whether a case-folded user is on the short exclusion lists."""
     listed = F.lit(False)
     if exclusions.exact:
-        listed = listed | folded.isin(sorted({fold_text(value) for value in exclusions.exact}))
+        listed = listed | folded_user.isin(sorted({fold_text(value) for value in exclusions.exact}))
     for token in dict.fromkeys(fold_text(value) for value in exclusions.contains):
-        listed = listed | folded.contains(token)
+        listed = listed | folded_user.contains(token)
     return listed
 
 
@@ -53,28 +53,51 @@ def excluded_users(table: DataFrame, exclusion_table: DataFrame) -> DataFrame:
     return exact.select("user").unionByName(containing.select("user")).distinct()
 
 
-def _mark_excluded(table: DataFrame, exclusions: Exclusions) -> DataFrame:
-    """Add ``is_excluded``."""
-    listed = is_listed(F.col("user"), exclusions)
-    if exclusions.table is None:
-        return table.withColumn("is_excluded", listed)
-    ruled_out = excluded_users(table, exclusions.table).select(
-        F.col("user").alias("_excluded_user")
-    )
-    return (
-        table.join(ruled_out, F.col("user") == F.col("_excluded_user"), "left")
-        .withColumn("is_excluded", listed | F.col("_excluded_user").isNotNull())
-        .drop("_excluded_user")
-    )
+def _with_exclusion_mark(table: DataFrame, exclusions: Exclusions) -> tuple[DataFrame, Column]:
+    """The table with what the exclusion test needs, and the test."""
+    listed = F.lit(False)
+    if exclusions.exact or exclusions.contains:
+        table = table.withColumn("_folded_user", fold(F.col("user")))
+        listed = is_listed(F.col("_folded_user"), exclusions)
+    if exclusions.table is not None:
+        ruled_out = excluded_users(table, exclusions.table).select(
+            F.col("user").alias("_excluded_user")
+        )
+        table = table.join(ruled_out, F.col("user") == F.col("_excluded_user"), "left")
+        listed = listed | F.col("_excluded_user").isNotNull()
+    return table, listed
 
 
-def _with_event_time(table: DataFrame, params: Params) -> DataFrame:
-    """Add ``event_time_text`` and ``event_timestamp``; typed times are taken as they are."""
-    kind = dict(table.dtypes)["event_time_raw"]
-    text = remove_suffixes(strip(F.col("event_time_raw").cast("string")), params.timestamp_suffixes)
-    typed = kind.startswith(("timestamp", "date"))
-    stamp = F.col("event_time_raw").cast("timestamp_ntz") if typed else parse_event_time(F.col("event_time_text"))
-    return table.withColumn("event_time_text", text).withColumn("event_timestamp", stamp)
+def _with_state(table: DataFrame, params: Params) -> DataFrame:
+    """Every row with ``event_time_text``, ``event_timestamp`` and ``row_state``.
+
+    The state is ``missing``, ``excluded``, ``invalid`` or ``kept``, the first that applies. Typed
+    times are taken as they are.
+    """
+    typed = dict(table.dtypes)["event_time_raw"].startswith(("timestamp", "date"))
+    table = table.withColumn("event_time_text", strip(F.col("event_time_raw").cast("string")))
+    for suffix in params.timestamp_suffixes:
+        table = table.withColumn("event_time_text", remove_suffix(F.col("event_time_text"), suffix))
+    table, excluded = _with_exclusion_mark(table, params.exclusions)
+    if typed:
+        stamp = F.col("event_time_raw").cast("timestamp_ntz")
+    else:
+        stamp = parse_event_time(F.col("event_time_text"))
+    timed = compute_once(
+        table,
+        {
+            "user": F.col("user"),
+            "is_excluded": excluded,
+            "event_timestamp": stamp,
+        },
+    )
+    state = (
+        F.when(F.col("user").isNull() | (F.col("user") == ""), "missing")
+        .when(F.col("is_excluded"), "excluded")
+        .when(F.col("event_timestamp").isNull(), "invalid")
+        .otherwise("kept")
+    )
+    return timed.withColumn("row_state", state)
 
 
 def _with_calendar(table: DataFrame, date_column: str) -> DataFrame:
@@ -89,49 +112,45 @@ def _with_calendar(table: DataFrame, date_column: str) -> DataFrame:
     )
 
 
+def _stripped_user(lowercase: bool) -> Column:
+    user = strip(F.col("user").cast("string"))
+    return F.lower(user) if lowercase else user
+
+
 def _login_rows(raw: DataFrame, params: Params) -> DataFrame:
-    """Every raw row with its stripped user, exclusion mark and parsed time."""
+    """Every raw login row with its state."""
     check_columns(raw, [params.user_column, params.timestamp_column])
-    user = strip(F.col("user").cast("string"))
     rows = raw.withColumnsRenamed(
         {params.user_column: "user", params.timestamp_column: "event_time_raw"}
-    ).withColumn("user", F.lower(user) if params.lowercase_users else user)
-    return _with_event_time(_mark_excluded(rows, params.exclusions), params)
+    )
+    return _with_state(rows.withColumn("user", _stripped_user(params.lowercase_users)), params)
 
 
-def _has_user() -> Column:
-    return F.col("user").isNotNull() & (F.col("user") != "")
+def _kept_rows(rows: DataFrame, date_column: str) -> DataFrame:
+    """Rows in state ``kept``, with display name and calendar columns after the input columns."""
+    derived = [
+        "user_display_name", "event_time_text", "event_timestamp",
+        date_column, "year", "month", "year_month",
+    ]
+    helpers = ["is_excluded", "row_state", "_folded_user", "_excluded_user"]
+    passed = [f"`{name}`" for name in rows.columns if name not in (*derived, *helpers)]
+    kept = rows.filter(F.col("row_state") == "kept")
+    named = kept.withColumn("user_display_name", display_name(F.col("user")))
+    return _with_calendar(named, date_column).select(*passed, *derived)
 
 
 def clean_login(raw: DataFrame, params: Params) -> DataFrame:
     """Login rows with a user, not excluded, with a valid time; other input columns pass through."""
-    kept = _login_rows(raw, params).filter(
-        _has_user() & ~F.col("is_excluded") & F.col("event_timestamp").isNotNull()
-    )
-    cleaned = _with_calendar(
-        kept.withColumn("user_display_name", display_name(F.col("user"))), "login_date"
-    )
-    derived = [
-        "user_display_name", "event_time_text", "event_timestamp",
-        "login_date", "year", "month", "year_month",
-    ]
-    passed = [f"`{name}`" for name in cleaned.columns if name not in (*derived, "is_excluded")]
-    return cleaned.select(*passed, *derived)
+    return _kept_rows(_login_rows(raw, params), "login_date")
 
 
 def cleaning_report(raw: DataFrame, params: Params) -> DataFrame:
     """One row of counters. A dropped row counts once: missing, then excluded, then invalid."""
-    reason = (
-        F.when(~_has_user() | F.col("user").isNull(), "missing")
-        .when(F.col("is_excluded"), "excluded")
-        .when(F.col("event_timestamp").isNull(), "invalid")
-        .otherwise("kept")
-    )
 
-    def rows(name: str) -> Column:
-        return F.count_if(F.col("reason") == name)
+    def rows(state: str) -> Column:
+        return F.count_if(F.col("row_state") == state)
 
-    return _login_rows(raw, params).select(reason.alias("reason")).agg(
+    return _login_rows(raw, params).agg(
         F.count("*").alias("input_rows"),
         rows("kept").alias("output_rows"),
         rows("missing").alias("dropped_missing_user_rows"),
@@ -141,7 +160,7 @@ def cleaning_report(raw: DataFrame, params: Params) -> DataFrame:
 
 
 def clean_denials(raw: DataFrame, params: Params) -> DataFrame:
-    """Denial rows: label, then user, then exclusions, then time. Unordered; see ``raw_denials``."""
+    """Denial rows: label, then user, then exclusions, then time. Unordered; see ``in_time_order``."""
     if set(DENIAL_COLUMNS) <= set(raw.columns):
         return raw.select(*DENIAL_COLUMNS)
     required = [
@@ -161,21 +180,9 @@ def clean_denials(raw: DataFrame, params: Params) -> DataFrame:
             }
         )
         .filter(F.col("event_label") == params.denial_label)
-        .withColumn("user", strip(F.col("user").cast("string")))
-        .filter(_has_user())
-    )
-    rows = _with_event_time(_mark_excluded(rows, params.exclusions), params).filter(
-        ~F.col("is_excluded") & F.col("event_timestamp").isNotNull()
+        .withColumn("user", _stripped_user(lowercase=False))
     )
-    cleaned = _with_calendar(
-        rows.withColumn("user_display_name", display_name(F.col("user"))), "denial_date"
-    )
-    derived = [
-        "user_display_name", "event_time_text", "event_timestamp",
-        "denial_date", "year", "month", "year_month",
-    ]
-    passed = [f"`{name}`" for name in cleaned.columns if name not in (*derived, "is_excluded")]
-    return cleaned.select(*passed, *derived)
+    return _kept_rows(_with_state(rows, params), "denial_date")
 
 
 def in_time_order(cleaned: DataFrame) -> DataFrame:

@@ -9,6 +9,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def compute_once(table: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add or replace columns whose expressions are evaluated once per row.
+
+    Spark copies a computed column into every filter that uses it. Values that come out of a
+    generator are not copied, so costly expressions that are filtered on go through one.
+    """
+    kept = [f"`{name}`" for name in table.columns if name not in columns]
+    values = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return table.select(*kept, F.inline(F.array(values))).select(
+        *[f"`{name}`" for name in table.columns],
+        *[f"`{name}`" for name in columns if name not in table.columns],
+    )
+
+
 def first_per_key(table: DataFrame, key: str, order: Sequence[Column | str]) -> DataFrame:
     """First row per key in the given order.
 
