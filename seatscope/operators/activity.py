@@ -19,10 +19,14 @@ def daily_activity(cleaned: DataFrame, date_column: str = "login_date") -> DataF
 
     Counts are combined within each task first, so a user with very many events sends one row per
     day and task. Everything per user or per month is built on this much smaller table.
+
+    The filter keeps every row. It makes each use of the table need the count, so that all uses
+    within a query have the same shuffle, which Spark then runs once.
     """
-    return cleaned.groupBy("user", F.col(date_column).alias("activity_date")).agg(
+    daily = cleaned.groupBy("user", F.col(date_column).alias("activity_date")).agg(
         F.count("*").alias("event_count")
     )
+    return daily.filter(F.col("event_count") > 0)
 
 
 def reporting_period(daily: DataFrame) -> DataFrame:

@@ -144,21 +144,55 @@ def clean_login(raw: DataFrame, params: Params) -> DataFrame:
     return _kept_rows(_login_rows(raw, params), "login_date")
 
 
+def _report(states: DataFrame, rows: Column) -> DataFrame:
+    """One row of counters from states and numbers of rows."""
+
+    def total(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, rows)), F.lit(0)).cast("long")
+
+    state = F.col("row_state")
+    return states.agg(
+        total(F.lit(True)).alias("input_rows"),
+        total(state == "kept").alias("output_rows"),
+        total(state == "missing").alias("dropped_missing_user_rows"),
+        total(state == "invalid").alias("dropped_invalid_timestamp_rows"),
+        total(state == "excluded").alias("dropped_excluded_user_rows"),
+    )
+
+
 def cleaning_report(raw: DataFrame, params: Params) -> DataFrame:
     """One row of counters. A dropped row counts once: missing, then excluded, then invalid."""
+    return _report(_login_rows(raw, params), F.lit(1))
 
-    def rows(state: str) -> Column:
-        return F.count_if(F.col("row_state") == state)
 
-    return _login_rows(raw, params).agg(
-        F.count("*").alias("input_rows"),
-        rows("kept").alias("output_rows"),
-        rows("missing").alias("dropped_missing_user_rows"),
-        rows("invalid").alias("dropped_invalid_timestamp_rows"),
-        rows("excluded").alias("dropped_excluded_user_rows"),
+def login_day_states(raw: DataFrame, params: Params) -> DataFrame:
+    """``(row_state, user, activity_date, event_count)``: one pass that serves two results.
+
+    Dropped rows are counted per state only. Once written, the table yields both the per-day
+    activity and the cleaning report without reading the raw audit again.
+    """
+    is_kept = F.col("row_state") == "kept"
+    return (
+        _login_rows(raw, params)
+        .groupBy(
+            "row_state",
+            F.when(is_kept, F.col("user")).alias("user"),
+            F.when(is_kept, F.col("event_timestamp").cast("date")).alias("activity_date"),
+        )
+        .agg(F.count("*").alias("event_count"))
     )
 
 
+def kept_days(states: DataFrame) -> DataFrame:
+    """The per-day activity in ``login_day_states``."""
+    return states.filter(F.col("row_state") == "kept").select("user", "activity_date", "event_count")
+
+
+def report_of_states(states: DataFrame) -> DataFrame:
+    """The cleaning report in ``login_day_states``."""
+    return _report(states, F.col("event_count"))
+
+
 def clean_denials(raw: DataFrame, params: Params) -> DataFrame:
     """Denial rows: label, then user, then exclusions, then time. Unordered; see ``in_time_order``."""
     if set(DENIAL_COLUMNS) <= set(raw.columns):

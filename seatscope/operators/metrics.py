@@ -129,9 +129,11 @@ def overview_metrics(daily: DataFrame, users: DataFrame, report: DataFrame) -> D
 def assigned_with_denials(analysis: DataFrame, denial_summary: DataFrame, params: Params) -> DataFrame:
     """One row: denied users whose display name is, letter for letter, a shared-licence holder's."""
     assigned = analysis.filter(F.col("allocated_licence") == params.shared_licence).select(
-        F.col("named_user").alias("user_display_name")
+        "named_user"
     )
-    return denial_summary.join(assigned, "user_display_name", "inner").agg(
+    # Null-safe, because a plain equality would add a not-null filter below the shared aggregates.
+    same_name = F.col("user_display_name").eqNullSafe(F.col("named_user"))
+    return denial_summary.join(assigned, same_name, "inner").agg(
         F.count("*").alias("assigned_with_denials")
     )
 

@@ -137,15 +137,16 @@ def build_tables(
 ) -> dict[str, DataFrame]:
     """All result tables by name, unordered.
 
-    ``stage`` is called on every intermediate that several tables share. The raw events are read
-    by the per-day aggregates, by the cleaning report and for the cleaned-row tables; everything
-    else builds on the per-day tables.
+    ``stage`` is called on every intermediate that several tables share. The raw audits are read
+    once for the per-day tables, which everything else builds on, and once for the tables of
+    cleaned rows.
     """
     cleaned_login = clean.clean_login(inputs.login, params)
     cleaned_denials = clean.clean_denials(inputs.denials, params)
-    daily = stage("daily", activity.daily_activity(cleaned_login))
+    states = stage("login_day_states", clean.login_day_states(inputs.login, params))
+    daily = clean.kept_days(states)
     denial_daily = stage("denial_daily", activity.daily_activity(cleaned_denials, "denial_date"))
-    report = stage("cleaning_report", clean.cleaning_report(inputs.login, params))
+    report = clean.report_of_states(states)
     technicians = stage("technician_list", inputs.technicians)
     named = stage("named_licence_list", inputs.named)
 
