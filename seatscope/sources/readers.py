@@ -58,7 +58,7 @@ def check_columns(table: DataFrame, required: Iterable[str], what: str = "") ->
 def _source_format(source: Source) -> str:
     kind = (source.format or PurePosixPath(source.path).suffix.lstrip(".")).lower()
     if kind not in (*FILE_FORMATS, "table"):
-        raise ValueError(f"Unsupported input format: {kind or source.path!r}")
+        raise ValueError(f"Unsupported input format: {kind or source.path}")
     return kind
 
 
