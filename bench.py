@@ -9,6 +9,8 @@ import json
 import os
 import sys
 import time
+import uuid
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -17,8 +19,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from harness import inputs  # noqa: E402
 from harness.queries import QUERIES, review_inputs  # noqa: E402
-from seatscope.plans.review import build_tables, in_report_order  # noqa: E402
-from seatscope.session import StagedTables, configure  # noqa: E402
+from seatscope.plans.review import write_review  # noqa: E402
+from seatscope.session import configure, shared_folder  # noqa: E402
 
 HEADLINE = (
     "clean_login", "cleaning_report", "exclude_table", "login_gaps", "user_summary",
@@ -47,12 +49,10 @@ def consume(table) -> None:
 
 
 def whole_review(spark: SparkSession, sf_dir: str) -> None:
-    """Every table of a run, with the shared intermediates written once."""
-    tables = build_tables(
-        spark, review_inputs(spark, sf_dir), inputs.PARAMS, StagedTables(spark)
-    )
-    for name, table in tables.items():
-        consume(in_report_order(name, table))
+    """Every table of a run, written to a folder of its own."""
+    output_path = f"{shared_folder(spark)}/bench-{uuid.uuid4().hex}"
+    params = replace(inputs.PARAMS, output_path=output_path)
+    write_review(spark, review_inputs(spark, sf_dir), params)
 
 
 def main() -> None:

@@ -21,8 +21,19 @@ TECHNICIAN_SEGMENT = "MACHINERY"
 SHARED_LICENCE_SEGMENT = "AUTOMOBILE"
 
 
+# Stated, so that reading a table does not start a job to find its schema.
+SCHEMAS = {
+    "events": (
+        "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    ),
+    "customer": (
+        "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    ),
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:

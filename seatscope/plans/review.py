@@ -210,11 +210,19 @@ def build_tables(
     }
 
 
-def run_review(spark: SparkSession, params: Params, output_format: str = "parquet") -> list[str]:
-    """Read the inputs, build every table and write each one once, in report order."""
+def write_review(
+    spark: SparkSession, inputs: Inputs, params: Params, output_format: str = "parquet"
+) -> list[str]:
+    """Build every table and write each one once, in report order."""
     configure(spark)
-    tables = build_tables(spark, read_inputs(spark, params), params, StagedTables(spark))
+    tables = build_tables(spark, inputs, params, StagedTables(spark))
     for name in ("user_summary", "regular_users", "occasional_users", "rare_users"):
         tables[name] = with_highlight(tables[name])
     ordered = {name: in_report_order(name, table) for name, table in tables.items()}
     return writers.write_tables(ordered, params.output_path, output_format)
+
+
+def run_review(spark: SparkSession, params: Params, output_format: str = "parquet") -> list[str]:
+    """Read the inputs named in the parameters and write the review."""
+    configure(spark)
+    return write_review(spark, read_inputs(spark, params), params, output_format)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 
@@ -15,14 +16,21 @@ OUTPUT_OPTIONS = {
 }
 
 
-def write_tables(tables: Mapping[str, DataFrame], path: str, output_format: str = "parquet") -> list[str]:
-    """Write each table, replacing what an earlier run left there. Returns the folders written."""
+def write_tables(
+    tables: Mapping[str, DataFrame], path: str, output_format: str = "parquet", at_once: int = 4
+) -> list[str]:
+    """Write each table, replacing what an earlier run left there. Returns the folders written.
+
+    Most result tables are small, so a few writes are submitted at a time to keep the cluster busy.
+    """
     if output_format not in OUTPUT_OPTIONS:
         raise ValueError(f"Unsupported output format: {output_format}")
-    folders = []
-    for name, table in tables.items():
+
+    def write(name: str) -> str:
         folder = f"{path.rstrip('/')}/{name}"
-        writer = table.write.mode("overwrite").format(output_format)
+        writer = tables[name].write.mode("overwrite").format(output_format)
         writer.options(**OUTPUT_OPTIONS[output_format]).save(folder)
-        folders.append(folder)
-    return folders
+        return folder
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(write, tables))
