@@ -26,3 +26,14 @@ def test_query_equals_sql(spark, connection, name):
 
 def test_entry(spark):
     assert entry(spark).count() > 0
+
+
+@pytest.mark.parametrize(
+    "name", ["clean_login", "scan_denial_audit", "user_summary", "adu_monthly_denials", "login_gaps"]
+)
+def test_results_do_not_depend_on_the_session_zone(spark, connection, name):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert spark_rows(spark, name, SF_DIR) == oracle_rows(connection, name)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
