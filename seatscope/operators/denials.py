@@ -11,7 +11,6 @@ from seatscope.functions.rules import repeated_denials
 from seatscope.functions.text import display_name
 from seatscope.operators.activity import (
     recent_cutoff,
-    reporting_period,
     starts_month,
     with_gaps,
     with_month_labels,
@@ -29,10 +28,9 @@ def denial_user_counts(daily: DataFrame, params: Params) -> DataFrame:
     """Attempts, days, months, first and last denial, and the recent share, per user."""
     days = (
         with_gaps(daily)
-        .withColumn("period", reporting_period(daily).scalar())
+        .withColumn("last_date", daily.agg(F.max("activity_date")).scalar())
         .withColumn(
-            "is_recent",
-            F.col("activity_date") >= recent_cutoff(F.col("period.last_date"), params),
+            "is_recent", F.col("activity_date") >= recent_cutoff(F.col("last_date"), params)
         )
     )
     return days.groupBy("user").agg(
