@@ -117,7 +117,7 @@ def word_hashes(data: np.ndarray, words: Words) -> np.ndarray:
     """A 64-bit hash of each word, the same wherever the word stands; never zero."""
     if not len(words.starts):
         return np.zeros(0, np.uint64)
-    size = 1 << max(16, int(len(data)).bit_length())
+    size = 1 << max(16, (len(data) - 1).bit_length())
     up, down = _powers(size)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
