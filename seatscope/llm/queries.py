@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seatscope.llm.decontaminate import find_contamination
 from seatscope.llm.frames import remainder
+from seatscope.llm.packing import pack_documents
 from seatscope.llm.simhash import near_duplicates
 from seatscope.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -15,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark, table(spark, sf_dir, "documents"))
     fingerprint = F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint")
@@ -39,6 +45,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
     "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
