@@ -9,14 +9,21 @@ from pyspark.sql import functions as F
 from seatscope.llm.decontaminate import find_contamination
 from seatscope.llm.frames import remainder
 from seatscope.llm.packing import pack_documents
+from seatscope.llm.pii import pseudonymise
 from seatscope.llm.simhash import near_duplicates
 from seatscope.llm.toxicity import fit_toxicity, score_toxicity
 
+EXAMPLE_KEY = b"an example key; keep yours secret"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), EXAMPLE_KEY)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -45,6 +52,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_pii": op2_pii,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
     "op9_decontaminate": op9_decontaminate,
