@@ -10,6 +10,7 @@ from seatscope.llm.decontaminate import find_contamination
 from seatscope.llm.frames import remainder
 from seatscope.llm.packing import pack_documents
 from seatscope.llm.pii import pseudonymise
+from seatscope.llm.quality import fit_quality, score_quality
 from seatscope.llm.simhash import near_duplicates
 from seatscope.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -20,6 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    training = remainder(F.col("doc_id"), 4) != 2
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), training)
+    return score_quality(docs, model).select(
+        "doc_id",
+        (~training).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), EXAMPLE_KEY)
 
@@ -52,6 +65,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_pii": op2_pii,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
