@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from seatscope.llm.decontaminate import find_contamination
 from seatscope.llm.frames import remainder
+from seatscope.llm.language import fit_language, predict_language
 from seatscope.llm.packing import pack_documents
 from seatscope.llm.pii import pseudonymise
 from seatscope.llm.quality import fit_quality, score_quality
@@ -47,6 +48,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fingerprint, "component_id")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    training = remainder(F.col("doc_id"), 3) != 1
+    model = fit_language(docs.select("doc_id", "text", "lang"), training)
+    return predict_language(docs.select("doc_id", "text"), model).select(
+        "doc_id", (~training).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return find_contamination(spark, docs, table(spark, sf_dir, "benchmark")).drop("text")
@@ -69,6 +79,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
+    "op8_language": op8_language,
     "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
 }
