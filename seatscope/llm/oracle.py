@@ -1,3 +1,52 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+from __future__ import annotations
+
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _template_level(level: int) -> str:
+    """One level of the path-template tree; reads g{level - 1} and makes g{level}."""
+    last, this = f"g{level - 1}", f"s{level}"
+    return f"""
+{this} AS (SELECT *, CASE WHEN len(segments) >= {level} THEN segments[{level}] END AS segment FROM {last}),
+b{level} AS (SELECT host, template, segment, sum(n_pages) AS p, sum(n_labelled)::DOUBLE AS l, sum(n_bad)::DOUBLE AS b
+  FROM {this} WHERE segment IS NOT NULL GROUP BY ALL),
+a{level} AS (SELECT *, sum(l) OVER w AS al, sum(b) OVER w AS ab FROM b{level} WINDOW w AS (PARTITION BY host, template)),
+o{level} AS (SELECT host, template, segment FROM (
+    SELECT *, (b + 0.5) / (l + 1.0) - (ab - b + 0.5) / (al - l + 1.0) AS d, (ab + 1.0) / (al + 2.0) AS r FROM a{level})
+  WHERE p >= 5 AND d * d > 6.635 * (r * (1.0 - r) * (1.0 / (l + 1.0) + 1.0 / (al - l + 1.0)))),
+g{level} AS (SELECT s.host, s.segments, n_pages, n_labelled, n_bad,
+  CASE WHEN s.segment IS NULL THEN s.template
+       ELSE s.template || '/' || CASE WHEN o.segment IS NULL THEN '*' ELSE s.segment END END AS template
+  FROM {this} s LEFT JOIN o{level} o ON s.host = o.host AND s.template = o.template AND s.segment = o.segment)"""
+
+
+ORACLE_SQL["op5_urls"] = f"""
+WITH rest AS (SELECT page_id,
+    CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+cut AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+c AS (SELECT *, CASE WHEN path = '' THEN []::VARCHAR[] ELSE string_split(
+    regexp_replace(regexp_replace(path, '[0-9a-fA-F]{{16,}}', '{{hex}}', 'g'), '[0-9]+', '{{n}}', 'g'), '/')[2:] END AS segments FROM cut),
+judged AS (SELECT doc_id AS page_id, (avg(quality) < 0.5)::BIGINT AS bad FROM labels WHERE quality IS NOT NULL GROUP BY 1),
+g0 AS (SELECT host, segments, count(*) AS n_pages, count(bad) AS n_labelled, coalesce(sum(bad), 0) AS n_bad, '' AS template
+  FROM c LEFT JOIN judged USING (page_id) GROUP BY host, segments),
+{",".join(_template_level(level) for level in range(1, 5))},
+g AS (SELECT * REPLACE (template || CASE WHEN len(segments) > 4 THEN '/**' ELSE '' END AS template) FROM g4),
+leaves AS (SELECT host, template, sum(n_pages) AS n_pages, sum(n_labelled) AS n_labelled, sum(n_bad) AS n_bad FROM g GROUP BY ALL),
+hosts AS (SELECT host, sum(n_labelled)::DOUBLE AS hl, sum(n_bad)::DOUBLE AS hb FROM leaves GROUP BY host),
+base AS (SELECT host, (hb + 10.0 * ((SELECT sum(hb) FROM hosts) + 0.5) / ((SELECT sum(hl) FROM hosts) + 1.0)) / (hl + 10.0) AS share FROM hosts),
+verdicts AS (SELECT l.*, (n_bad + 10.0 * share) / (n_labelled + 10.0) >= 0.5 AS blocked FROM leaves l JOIN base USING (host)),
+ruled AS (SELECT *, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM c)
+SELECT page_id, ruled.host, path, rule,
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+       WHEN blocked THEN 'block' ELSE 'allow' END AS verdict,
+  g.template, v.n_pages::BIGINT AS n_pages, v.n_labelled::BIGINT AS n_labelled, v.n_bad::BIGINT AS n_bad
+FROM ruled JOIN g ON ruled.host = g.host AND ruled.segments = g.segments
+JOIN verdicts v ON v.host = g.host AND v.template = g.template
+"""

@@ -14,9 +14,17 @@ from seatscope.llm.pii import pseudonymise
 from seatscope.llm.quality import fit_quality, score_quality
 from seatscope.llm.simhash import near_duplicates
 from seatscope.llm.toxicity import fit_toxicity, score_toxicity
+from seatscope.llm.urls import Rule, filter_urls
 
 EXAMPLE_KEY = b"an example key; keep yours secret"
 
+URL_RULES = [
+    Rule("block", "net", "/"),
+    Rule("allow", "example.net", "/en/"),
+    Rule("block", "example.com", "/de/"),
+    Rule("allow", "org", "/fr/"),
+]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,6 +46,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), EXAMPLE_KEY)
 
 
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(spark, table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -77,6 +89,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_pii": op2_pii,
+    "op5_urls": op5_urls,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
     "op8_language": op8_language,
