@@ -50,3 +50,51 @@ SELECT page_id, ruled.host, path, rule,
 FROM ruled JOIN g ON ruled.host = g.host AND ruled.segments = g.segments
 JOIN verdicts v ON v.host = g.host AND v.template = g.template
 """
+
+
+_GRID = (0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.075, 0.05, 0.03, 0.02)
+_SHARES = {
+    "symbols": "n_symbols::DOUBLE / greatest(word_chars, 1)",
+    "dup_lines": "n_dup_lines::DOUBLE / greatest(n_lines, 1)",
+    "repeats": "n_repeat_words::DOUBLE / greatest(n_words, 1)",
+}
+_SPACE = r"[\x20\x09-\x0D]"
+
+ORACLE_SQL["op3_rules"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '{_SPACE}+'), lambda x: x <> '') AS words,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+win AS (SELECT r, i, words[i:i + 4] AS g FROM (SELECT r, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
+hit AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM win) WHERE n > 1),
+cov AS (SELECT r, sum(least(coalesce(nxt - i, 5), 5)) AS n FROM (
+    SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM hit) GROUP BY r),
+m AS (SELECT w.r, doc_id, lang, len(words) AS n_words, length(regexp_replace(t, '{_SPACE}+', '', 'g')) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN cov ON w.r = cov.r),
+j AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+known AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY 1),
+held AS (SELECT j.*, quality FROM j JOIN known USING (doc_id) WHERE NOT base_failed),
+sizes AS (SELECT lang, count(*) FILTER (quality = 1) AS size FROM held GROUP BY lang),
+shares AS ({" UNION ALL ".join(f"SELECT lang, quality, '{n}' AS rule, {e} AS share FROM held" for n, e in _SHARES.items())}),
+grid AS (SELECT unnest({list(range(len(_GRID)))}) AS step, unnest({[float(c) for c in _GRID]}::DOUBLE[]) AS cutoff),
+counted AS (SELECT lang, rule, step, cutoff, count(*) FILTER (quality = 1 AND share > cutoff) AS wrong,
+    count(*) FILTER (quality = 0 AND share > cutoff) AS bad FROM shares, grid GROUP BY ALL),
+sized AS (SELECT c.*, size FROM counted c JOIN sizes s ON c.lang IS NOT DISTINCT FROM s.lang),
+tail AS (SELECT lang, rule, step, sum(exp(lgamma(size + 1.0) - lgamma(k + 1.0) - lgamma(size - k + 1.0)
+    + k * ln(0.01) + (size - k) * ln(0.99))) AS p
+  FROM (SELECT *, unnest(range(0, wrong + 1)) AS k FROM sized WHERE wrong <= size * 0.01) GROUP BY ALL),
+proven AS (SELECT s.*, bool_and(coalesce(p <= 0.05 / (3 * (SELECT count(*) FROM sizes)), false)) OVER (
+    PARTITION BY s.lang, s.rule ORDER BY s.step) AS ok
+  FROM sized s LEFT JOIN tail t ON s.lang IS NOT DISTINCT FROM t.lang AND s.rule = t.rule AND s.step = t.step),
+best AS (SELECT lang, rule, arg_max(cutoff, (bad - wrong) * 100 - step) AS cutoff FROM proven
+  WHERE ok AND bad > wrong GROUP BY ALL),
+cut AS (SELECT lang, max(cutoff) FILTER (rule = 'symbols') AS symbols, max(cutoff) FILTER (rule = 'dup_lines') AS dup_lines,
+    max(cutoff) FILTER (rule = 'repeats') AS repeats FROM best GROUP BY lang),
+judged AS (SELECT j.*, CASE WHEN base_failed THEN 'base'
+    WHEN {_SHARES["symbols"]} > cut.symbols THEN 'symbols' WHEN {_SHARES["dup_lines"]} > cut.dup_lines THEN 'dup_lines'
+    WHEN {_SHARES["repeats"]} > cut.repeats THEN 'repeats' END AS rejected_by
+  FROM j LEFT JOIN cut ON j.lang IS NOT DISTINCT FROM cut.lang)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+  n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words, base_failed, rejected_by IS NULL AS kept, rejected_by FROM judged
+"""

@@ -12,6 +12,7 @@ from seatscope.llm.language import fit_language, predict_language
 from seatscope.llm.packing import pack_documents
 from seatscope.llm.pii import pseudonymise
 from seatscope.llm.quality import fit_quality, score_quality
+from seatscope.llm.rules import apply_rules
 from seatscope.llm.simhash import near_duplicates
 from seatscope.llm.toxicity import fit_toxicity, score_toxicity
 from seatscope.llm.urls import Rule, filter_urls
@@ -46,6 +47,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), EXAMPLE_KEY)
 
 
+def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_rules(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(spark, table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
 
@@ -89,6 +94,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_pii": op2_pii,
+    "op3_rules": op3_rules,
     "op5_urls": op5_urls,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
