@@ -98,3 +98,30 @@ judged AS (SELECT j.*, CASE WHEN base_failed THEN 'base'
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
   n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words, base_failed, rejected_by IS NULL AS kept, rejected_by FROM judged
 """
+
+_CONTROLS = ("[SYS]", "[/SYS]", "[INST]", "[/INST]", "<s>", "</s>", "[ROLE]", "[:]", "[/ROLE]")
+
+
+def _written_length(text: str) -> str:
+    """Length of a text once backslashes are doubled and control strings broken."""
+    marks = " + ".join(f"(length({text}) - length(replace({text}, '{c}', ''))) // {len(c)}" for c in _CONTROLS)
+    return f"(2 * length({text}) - length(replace({text}, '\\', '')) + {marks})"
+
+
+ORACLE_SQL["op4_chat"] = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+f AS (SELECT *, coalesce(lag(role) OVER w, '') AS before, lead(role) OVER w IS NULL AS last, {_written_length("text")} +
+    CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 15 WHEN 'assistant' THEN 7
+              ELSE 16 + {_written_length("role")} END AS chars
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+v AS (SELECT *, NOT coalesce(CASE before WHEN '' THEN role IN ('system', 'user') WHEN 'system' THEN role = 'user'
+    WHEN 'user' THEN role = 'assistant' WHEN 'assistant' THEN role = 'user' END, false) AS violation FROM f)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars, count(*) FILTER (violation)::BIGINT AS violations,
+  count(*) FILTER (violation) = 0 AND bool_or(last AND role = 'assistant') AS accepted
+FROM v GROUP BY conv_id
+"""
