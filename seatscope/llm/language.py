@@ -24,6 +24,7 @@ from seatscope.llm.gru import ByteTagger, GruParams, train
 from seatscope.llm.words import Block, blocks
 
 UNDETERMINED = "und"
+_PARTS = 64
 
 
 @dataclass(frozen=True)
@@ -44,8 +45,10 @@ class LanguageModel:
 def training_windows(docs: DataFrame, training: Column, params: LanguageParams) -> DataFrame:
     """``lang`` and ``text``: a window of each sampled document, at a place drawn from its hash."""
     usable = docs.filter(training & F.col("lang").isNotNull() & (F.length("text") > 0))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = usable.select("doc_id", "lang").withColumn("rank", rank).filter(F.col("rank") <= params.per_language)
+    ids = usable.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(_PARTS)).alias("part"))
+    for keys in (["lang", "part"], ["lang"]):  # parts first, so that no common language meets in one task
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id"))
+        ids = ids.withColumn("rank", rank).filter(F.col("rank") <= params.per_language)
     # per_language ids for each language: small by construction.
     chosen = F.broadcast(ids.select("doc_id", "lang").distinct())
     room = F.greatest(F.length("text") - params.gru.window + 1, F.lit(1))

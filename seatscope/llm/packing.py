@@ -49,9 +49,9 @@ class WordEncoder:
 
     The vocabulary drops white space and no token crosses it, nor the step from a letter to a
     punctuation mark, so a text's ids are those of its spans in turn. It ignores case, so ASCII is
-    lowered first, but not next to ``<|``, with which special tokens begin. Known spans are found by
-    a 64-bit hash. New ones that are letters only are one piece each for the tokenizer and are
-    encoded many at a time; all others go alone.
+    lowered first. Blocks with ``<|``, with which special tokens begin, are cut at white space only
+    and keep their case. Known spans are found by a 64-bit hash. New ones that are letters only are
+    one piece each for the tokenizer and are encoded many at a time; all others go alone.
     """
 
     def __init__(self, tokenizer_path: str) -> None:
@@ -102,10 +102,11 @@ class WordEncoder:
         """The ids of each text, with the end-of-document id."""
         for block in blocks(texts, _ENCODED_BYTES):
             raw = block.data.tobytes()
-            if b"<|" not in raw:
+            ordinary = b"<|" not in raw
+            if ordinary:
                 raw = LOWER[block.data].tobytes()
             data = np.frombuffer(raw, np.uint8)
-            spans = find_spans(data, block.offsets)
+            spans = find_spans(data, block.offsets, cut_words=ordinary)
             hashes, first_seen, which = np.unique(word_hashes(data, spans), return_index=True, return_inverse=True)
             if len(self._known) > _CACHED_SPANS:
                 self._forget()
@@ -124,14 +125,14 @@ class WordEncoder:
                 yield np.append(ids[a:b], np.uint32(END_ID))
 
 
-def find_spans(data: np.ndarray, offsets: np.ndarray) -> Words:
+def find_spans(data: np.ndarray, offsets: np.ndarray, cut_words: bool = True) -> Words:
     """Runs without space or line feed, cut where a known letter meets an ASCII punctuation mark."""
     inside = _NOT_BREAK[data]
     letter = _ASCII_LETTER[data]
     accented = (data >= 0x80) & (data < 0xC0) & (data != 0x97) & (data != 0xB7)
     letter[1:] |= accented[1:] & (data[:-1] == 0xC3)  # U+00C0 to U+00FF but the two signs
     cut = np.zeros(len(data) + 1, bool)  # a span begins here if inside
-    cut[1:-1] = ~inside[:-1] | (_PUNCTUATION[data[1:]] & letter[:-1])
+    cut[1:-1] = ~inside[:-1] | (cut_words & _PUNCTUATION[data[1:]] & letter[:-1])
     cut[offsets] = True
     cut[0] = True
     starts = np.flatnonzero(inside & cut[:-1])
@@ -166,13 +167,12 @@ class SumOfSquares:
     def best_level(self, size: int) -> int:
         """The level to place ``size`` tokens at; 0 opens a window. Ties go to the fullest level."""
         last = self.window - size
-        change = self.levels[size : self.window + 1] - self.levels[: last + 1] + 1
+        change = 2 * (self.levels[size : self.window + 1] - self.levels[: last + 1] + 1)
         change[-1] -= 1  # a full window leaves the sum
         change[self.levels[: last + 1] == 0] = _NEVER
-        # Half of each change of the sum: moving h to h + size is n(h + size) - n(h) + 1.
         fresh = 2 * self.levels[size] + 1 if size < self.window else 0
         at = last - int(np.argmin(change[::-1]))
-        return at if 2 * change[at] <= fresh else 0
+        return at if change[at] <= fresh else 0
 
     def add(self, doc: int | None, ids: np.ndarray) -> Iterator[list[Piece]]:
         piece = Piece(doc, 0, ids, len(ids))
