@@ -37,7 +37,7 @@ g AS (SELECT * REPLACE (template || CASE WHEN len(segments) > 4 THEN '/**' ELSE
 leaves AS (SELECT host, template, sum(n_pages) AS n_pages, sum(n_labelled) AS n_labelled, sum(n_bad) AS n_bad FROM g GROUP BY ALL),
 hosts AS (SELECT host, sum(n_labelled)::DOUBLE AS hl, sum(n_bad)::DOUBLE AS hb FROM leaves GROUP BY host),
 base AS (SELECT host, (hb + 10.0 * ((SELECT sum(hb) FROM hosts) + 0.5) / ((SELECT sum(hl) FROM hosts) + 1.0)) / (hl + 10.0) AS share FROM hosts),
-verdicts AS (SELECT l.*, (n_bad + 10.0 * share) / (n_labelled + 10.0) >= 0.5 AS blocked FROM leaves l JOIN base USING (host)),
+verdicts AS (SELECT l.*, n_bad > 0 AND (n_bad + 10.0 * share) / (n_labelled + 10.0) >= 0.5 AS blocked FROM leaves l JOIN base USING (host)),
 ruled AS (SELECT *, CASE
     WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
     WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
