@@ -125,3 +125,24 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   count(*) FILTER (violation) = 0 AND bool_or(last AND role = 'assistant') AS accepted
 FROM v GROUP BY conv_id
 """
+
+
+_WORDS = (
+    r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+ORACLE_SQL["op9_decontaminate"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS words FROM documents),
+item AS (SELECT coalesce(item_id::VARCHAR, '') AS item, words, least(13, len(words)) AS k
+  FROM (SELECT item_id, {_WORDS} AS words FROM benchmark) WHERE len(words) > 0),
+win AS (SELECT item, k, j, words[j:j + k - 1] AS w FROM (SELECT *, unnest(range(1, len(words) - k + 2)) AS j FROM item)),
+dwin AS (SELECT r, k, i, words[i:i + k - 1] AS w FROM (
+    SELECT *, unnest(range(1, len(words) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM item) WHERE len(words) >= k)),
+hit AS (SELECT DISTINCT r, item, k, i FROM dwin JOIN win USING (k, w)),
+covered AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM hit) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(words) AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+"""

@@ -89,7 +89,9 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return find_contamination(spark, docs, table(spark, sf_dir, "benchmark")).drop("text")
+    return find_contamination(spark, docs, table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"
+    )
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
