@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from harness.inputs import PARAMS, SHARED_LICENCE_SEGMENT, TECHNICIAN_SEGMENT
+from harness.inputs import PARAMS, SHARED_LICENCE_SEGMENT
 from seatscope.functions import rules
 from seatscope.operators.recommend import EVIDENCE_ROWS
 
@@ -40,6 +40,11 @@ def _cleaned(user: str, kept: str, date_column: str, source: str, label: str) ->
 
 
 _KEPT = f"lower(u) <> {_quoted(_EXACT.lower())} AND NOT contains(lower(u), {_quoted(_TOKEN.lower())})"
+_ACCOUNT = """regexp_extract("user", '\\(([^:]*):', 1)"""
+_LISTED = f"""WHERE lower("user") NOT IN (
+    SELECT lower(replace(c_name || ' (' || c_name || ': Acme)', '#', ' ')) FROM customer WHERE c_mktsegment = 'FURNITURE')
+  AND user_display_name NOT IN (SELECT replace(c_name, '#', ' ') FROM customer WHERE c_mktsegment = 'BUILDING')
+  AND {_ACCOUNT} NOT IN (SELECT replace(c_name, '#', ' ') FROM customer WHERE c_mktsegment = 'BUILDING')"""
 _DISPLAY = "CASE WHEN regexp_matches({u}, '^.*?\\s+\\(') THEN trim(regexp_extract({u}, '^(.*?)\\s+\\(', 1)) ELSE {u} END"
 _KEY = "lower(regexp_replace(trim({0}), '\\s+', ' ', 'g'))"
 _TECHNICIAN_STATUS = f"""CASE WHEN match_status <> 'Matched' THEN {_quoted(rules.NO_AUTHENTICATION)}
@@ -50,6 +55,7 @@ _TECHNICIAN_STATUS = f"""CASE WHEN match_status <> 'Matched' THEN {_quoted(rules
 _INPUTS = f"""
 steps AS (
   SELECT *, 'Customer ' || lpad(CAST(user_id AS VARCHAR), 9, '0') AS "name",
+    'Customer ' || lpad(CAST(CASE WHEN user_id % 5 = 4 THEN user_id - 1 ELSE user_id END AS VARCHAR), 9, '0') AS shown,
     date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS base_day,
     ((user_id // 4) % 10) * ((user_id // 4) % 10) // 2 + 1 AS step
   FROM events
@@ -57,24 +63,25 @@ steps AS (
   SELECT *, base_day + 30 * (event_id % (1 + user_id % 4)) AS "day" FROM steps
 ), audit AS (
   SELECT event_id, user_id, event_type, value,
-    CASE WHEN event_id % 97 = 0 THEN '   ' ELSE "name" || ' (' || "name" || ': Acme)' END AS "User Name",
+    CASE WHEN event_id % 97 = 0 THEN '   ' ELSE shown || ' (' || "name" || ': Acme)' END AS "User Name",
     CASE WHEN event_id % 89 = 0 THEN 'not-a-timestamp'
       ELSE strftime(ts + to_days(CAST("day" - "day" % step - base_day AS INTEGER)), '%Y-%m-%d %H:%M:%S')
         || CASE WHEN event_id % 2 = 0 THEN ' BST' ELSE ' GMT' END
     END AS "Event Time"
   FROM moved
 ), login_audit AS (
-  SELECT "User Name", "Event Time", event_type AS "Event Label" FROM audit WHERE event_type <> 'error'
+  SELECT "User Name", "Event Time", event_type AS "Event Label" FROM audit
 ), denial_audit AS (
   SELECT "User Name", "Event Time",
-    CASE WHEN value < 15 * (user_id % 7) THEN 'Other Event' ELSE {_quoted(PARAMS.denial_label)} END
-      AS "Event Label"
-  FROM audit WHERE event_type = 'error'
+    CASE WHEN event_type = 'error' AND value >= 15 * (user_id % 7) THEN {_quoted(PARAMS.denial_label)}
+      ELSE 'Other Event' END AS "Event Label"
+  FROM audit
+), technician_people AS (
+  SELECT 'Customer ' || lpad(CAST(2 * s_suppkey AS VARCHAR), 9, '0') AS "name" FROM supplier
 ), technician_names AS (
-  SELECT 0 AS ord, '  ' || upper(replace(replace(c_name, '#', ' '), ' ', '   ')) || ' ' AS "Full Name"
-  FROM customer WHERE c_mktsegment = {_quoted(TECHNICIAN_SEGMENT)}
+  SELECT 0 AS ord, '  ' || upper(replace("name", ' ', '   ')) || ' ' AS "Full Name" FROM technician_people
   UNION ALL
-  SELECT 1, replace(c_name, '#', ' ') FROM customer WHERE c_mktsegment = {_quoted(TECHNICIAN_SEGMENT)}
+  SELECT 1, "name" FROM technician_people
 ), named_rows AS (
   SELECT c_custkey AS ord,
     CASE WHEN c_custkey % 2 = 0 THEN replace(c_name, '#', ' ') ELSE lower(replace(c_name, '#', ' ')) END
@@ -174,7 +181,8 @@ login AS ({_cleaned('trim("User Name")', _KEPT, "login_date", "login_audit", '"E
       CASE WHEN u."user" IS NULL THEN 'Unmatched' ELSE 'Matched' END AS match_status,
       u."user" AS matched_user, u.user_display_name, u.usage_category,
       u.distinct_login_days, u.last_login_date
-    FROM technicians t LEFT JOIN user_keys u ON t.production_technician_match_key = u.k
+    FROM technicians t
+    LEFT JOIN flagged u ON t.production_technician_match_key = {_KEY.format("u.user_display_name")}
   )
 ), analysis AS (
   SELECT *, CASE WHEN match_status <> 'Matched' THEN {_quoted(rules.NO_LOGIN_ACTIVITY)}
@@ -361,8 +369,13 @@ UNION ALL SELECT 'contains', c_mktsegment FROM customer""",
   {_without(f"NOT contains(lower(u), {_quoted(_TOKEN.lower())})")})""",
     "exclude_table": f"""SELECT "user", event_timestamp FROM (
   {_without("TRUE")})
-WHERE user_display_name NOT IN (
-  SELECT replace(c_name, '#', ' ') FROM customer WHERE c_mktsegment IN ('FURNITURE', 'BUILDING'))""",
+{_LISTED}""",
+    "exclude_file_list": f"""SELECT "user", event_timestamp FROM (
+  {_without("TRUE")})
+{_LISTED}""",
+    "exclude_contains_many": f"""SELECT "user", event_timestamp FROM (
+  {_without("TRUE")})
+WHERE {_ACCOUNT} NOT IN (SELECT replace(c_name, '#', ' ') FROM customer WHERE c_custkey % 2 = 0)""",
     "display_name": f"""SELECT trim("User Name") AS "user", {_DISPLAY.format(u='trim("User Name")')}
   AS user_display_name FROM login_audit""",
     "parse_event_time": """SELECT event_time_text,
@@ -412,7 +425,8 @@ ORDER BY average_active_days_per_month, distinct_login_days, total_logins, last_
     "ranked_adu_users": "SELECT * FROM ranked",
     "adu_user_label_key": "SELECT user_label, user_display_name FROM ranked",
     "raw_denials": f'SELECT {_CLEANED} FROM denied_rows ORDER BY event_timestamp, "user"',
-    "flag_technicians": 'SELECT "user", is_production_technician, production_technician_name FROM flagged',
+    "flag_technicians": """SELECT u."user", t.production_technician_name IS NOT NULL AS is_production_technician,
+  t.production_technician_name FROM user_keys u LEFT JOIN technicians t ON u.k = t.production_technician_match_key""",
     "join_users_denials": f'SELECT "user", {_FLAGS} FROM flagged',
     "dedicated_candidate_flag": """SELECT "user", usage_category, adu_denied_days,
   is_dedicated_licence_candidate FROM flagged""",

@@ -15,6 +15,7 @@ from seatscope.functions import event_time, rules, text
 from seatscope.operators import activity, clean, denials, matching, metrics, recommend
 from seatscope.params import Exclusions, Params, Source
 from seatscope.plans.review import Inputs, in_report_order, with_highlight
+from seatscope.session import StagedTables
 from seatscope.sources import exclusions, readers
 
 
@@ -76,7 +77,7 @@ class Review:
 
     @cached_property
     def matches(self) -> DataFrame:
-        return matching.technician_matches(self.technicians, self.users)
+        return matching.technician_matches(self.technicians, self.flagged)
 
     @cached_property
     def analysis(self) -> DataFrame:
@@ -84,7 +85,7 @@ class Review:
 
     @cached_property
     def advice(self) -> DataFrame:
-        return recommend.licence_recommendations(self.users, self.denied, self.matches, PARAMS)
+        return recommend.licence_recommendations(self.flagged, self.denied, self.matches, PARAMS)
 
     @cached_property
     def monthly(self) -> DataFrame:
@@ -170,6 +171,14 @@ class Review:
         listed = inputs.exclusion_table(self.spark, self.sf_dir)
         return self._login_without(Exclusions(table=listed))
 
+    def exclude_file_list(self) -> DataFrame:
+        documents = inputs.exclusion_documents(self.spark, self.sf_dir)
+        return self._login_without(Exclusions(table=exclusions.parse_exclusions(documents)))
+
+    def exclude_contains_many(self) -> DataFrame:
+        tokens = inputs.contains_tokens(self.spark, self.sf_dir)
+        return self._login_without(Exclusions(table=tokens))
+
     def display_name(self) -> DataFrame:
         user = text.strip(F.col("User Name"))
         return self.login_audit.select(
@@ -236,7 +245,10 @@ class Review:
         return activity.user_month_days(self.daily)
 
     def monthly_activity(self) -> DataFrame:
-        return in_report_order("monthly_activity", activity.monthly_activity(self.daily))
+        """Days are staged, so that finding the months does not read the events twice."""
+        daily = StagedTables(self.spark)("daily", self.daily)
+        months = activity.months_of(activity.monthly_active_users(daily))
+        return in_report_order("monthly_activity", activity.monthly_activity(daily, months))
 
     def monthly_active_users(self) -> DataFrame:
         return in_report_order("monthly_active_users", self.monthly)
@@ -358,7 +370,7 @@ class Review:
     # Recommendations
 
     def recommendation_keys(self) -> DataFrame:
-        subjects = recommend.review_subjects(self.users, self.denied, self.matches)
+        subjects = recommend.review_subjects(self.flagged, self.denied, self.matches)
         return subjects.select(
             F.col("_name_key").alias("match_key"),
             "login_name",
@@ -431,7 +443,7 @@ class Review:
 QUERY_NAMES = (
     "scan_login_audit", "scan_denial_audit", "scan_named_licences", "scan_technicians",
     "scan_exclusions", "clean_login", "clean_login_lowercase", "clean_denials", "cleaning_report",
-    "exclude_exact", "exclude_contains", "exclude_table", "display_name", "parse_event_time",
+    "exclude_exact", "exclude_contains", "exclude_table", "exclude_file_list", "exclude_contains_many", "display_name", "parse_event_time",
     "filter_denial_label", "normalise_person_name", "dedupe_first_by_key", "user_login_counts",
     "distinct_login_days", "login_gaps", "gap_stats", "user_averages", "categorise_user",
     "user_summary", "user_month_days", "monthly_activity", "monthly_active_users", "month_labels",

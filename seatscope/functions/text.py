@@ -15,34 +15,21 @@ WHITESPACE_CLASS = (
     r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 )
 
-# Characters that case folding turns into more than one character.
-FOLD_EXPANSIONS = {
-    "ß": "ss",
-    "ﬀ": "ff",
-    "ﬁ": "fi",
-    "ﬂ": "fl",
-    "ﬃ": "ffi",
-    "ﬄ": "ffl",
-    "ﬅ": "st",
-    "ﬆ": "st",
-}
-
-
-def _single_character_folds() -> tuple[str, str]:
-    """Lower-case characters whose case fold is one other character, as translate() arguments."""
-    source, target = [], []
-    for code_point in range(0x80, 0x10000):
-        if 0xD800 <= code_point <= 0xDFFF:
-            continue
+
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """Case folds of lower-case characters that fold further: to one character, and to several."""
+    one, several = {}, {}
+    for code_point in range(0x80, 0x110000):
         character = chr(code_point)
         folded = character.casefold()
-        if character == character.lower() and folded != character and len(folded) == 1:
-            source.append(character)
-            target.append(folded)
-    return "".join(source), "".join(target)
+        if character == character.lower() and folded != character:
+            (one if len(folded) == 1 else several)[character] = folded
+    return one, several
 
 
-_FOLD_FROM, _FOLD_TO = _single_character_folds()
+_ONE_TO_ONE, FOLD_EXPANSIONS = _folds()
+_FOLD_FROM, _FOLD_TO = "".join(_ONE_TO_ONE), "".join(_ONE_TO_ONE.values())
+_EXPANDING = f"[{''.join(FOLD_EXPANSIONS)}]"
 
 
 def is_ascii(column: Column) -> Column:
@@ -63,9 +50,19 @@ def fold(column: Column) -> Column:
     """Case-fold text. ASCII text, by far the most common, takes the short branch."""
     lowered = F.lower(column)
     folded = F.translate(lowered, _FOLD_FROM, _FOLD_TO)
-    for character, expansion in FOLD_EXPANSIONS.items():
-        folded = F.replace(folded, F.lit(character), F.lit(expansion))
-    return F.when(is_ascii(column), lowered).otherwise(folded)
+    # Characters that fold to several are looked up one by one, in the few texts that have any.
+    longer = F.map_from_arrays(
+        F.array(*[F.lit(character) for character in FOLD_EXPANSIONS]),
+        F.array(*[F.lit(expansion) for expansion in FOLD_EXPANSIONS.values()]),
+    )
+    expanded = F.array_join(
+        F.transform(F.split(folded, ""), lambda c: F.coalesce(F.element_at(longer, c), c)), ""
+    )
+    return (
+        F.when(is_ascii(column), lowered)
+        .when(folded.rlike(_EXPANDING), expanded)
+        .otherwise(folded)
+    )
 
 
 def fold_text(value: str) -> str:

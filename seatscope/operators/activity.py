@@ -121,24 +121,20 @@ def user_month_days(daily: DataFrame) -> DataFrame:
     )
 
 
-def observed_months(daily: DataFrame) -> list[str]:
-    """Months with activity; they become column names, so the driver needs them."""
-    months = daily.select(month_of(F.col("activity_date")).alias("year_month")).distinct()
-    return sorted(row["year_month"] for row in months.collect())
+def months_of(monthly_users: DataFrame) -> list[str]:
+    """Months of a table with one row per month; they become column names, so the driver needs them."""
+    return sorted(row["year_month"] for row in monthly_users.select("year_month").collect())
 
 
-def monthly_activity(daily: DataFrame, months: Sequence[str] | None = None) -> DataFrame:
+def monthly_activity(daily: DataFrame, months: Sequence[str]) -> DataFrame:
     """User by month matrix of active days, with a total."""
-    month = month_of(F.col("activity_date"))
-    names = list(months) if months is not None else observed_months(daily)
-    return (
-        daily.groupBy("user")
-        .agg(
-            *[F.count_if(month == name).alias(name) for name in names],
-            F.count("*").alias("Total"),
-        )
-        .select("user", display_name(F.col("user")).alias("user_display_name"), *[f"`{n}`" for n in names], "Total")
+    by_month = daily.groupBy("user", month_of(F.col("activity_date")).alias("year_month")).agg(
+        F.count("*").alias("days")
     )
+    matrix = by_month.groupBy("user").pivot("year_month", list(months)).agg(F.sum("days"))
+    cells = [F.coalesce(F.col(f"`{name}`"), F.lit(0)).alias(name) for name in months]
+    total = sum(cells, F.lit(0).cast("long")).alias("Total")
+    return matrix.select("user", display_name(F.col("user")).alias("user_display_name"), *cells, total)
 
 
 def with_month_labels(monthly: DataFrame) -> DataFrame:

@@ -9,7 +9,14 @@ from seatscope.functions.event_time import month_of, parse_event_time, remove_su
 from seatscope.functions.text import display_name, fold, fold_text, strip
 from seatscope.operators.reshape import compute_once
 from seatscope.params import Exclusions, Params
-from seatscope.sources.readers import DENIAL_COLUMNS, check_columns, empty_table
+from seatscope.sources.readers import check_columns
+
+# Helper columns. The prefix is reserved: input columns that carry it are refused.
+RESERVED = "__seatscope_"
+FOLDED_USER = f"{RESERVED}folded_user"
+EXCLUDED_USER = f"{RESERVED}excluded_user"
+IS_EXCLUDED = f"{RESERVED}is_excluded"
+ROW_STATE = f"{RESERVED}row_state"
 
 
 def is_listed(folded_user: Column, exclusions: Exclusions) -> Column:
@@ -17,8 +24,10 @@ def is_listed(folded_user: Column, exclusions: Exclusions) -> Column:
     listed = F.lit(False)
     if exclusions.exact:
         listed = listed | folded_user.isin(sorted({fold_text(value) for value in exclusions.exact}))
-    for token in dict.fromkeys(fold_text(value) for value in exclusions.contains):
-        listed = listed | folded_user.contains(token)
+    if exclusions.contains:
+        # One flat array: a chain of "or" would grow as deep as the list.
+        tokens = F.array(*[F.lit(t) for t in sorted({fold_text(v) for v in exclusions.contains})])
+        listed = listed | F.exists(tokens, lambda token: folded_user.contains(token))
     return listed
 
 
@@ -35,19 +44,16 @@ def excluded_users(table: DataFrame, exclusion_table: DataFrame) -> DataFrame:
     )
     tokens = values.filter(F.col("kind") == "contains").select("folded_value")
     lengths = tokens.agg(F.collect_set(F.char_length("folded_value"))).scalar()
-    fitting = F.filter("lengths", lambda n: n <= F.char_length("folded"))
-    parts = F.flatten(
-        F.transform(
-            fitting,
-            lambda n: F.transform(
-                F.sequence(F.lit(1), F.char_length("folded") - n + 1),
-                lambda start: F.substring("folded", start, n),
-            ),
-        )
+    # Lengths first, then places: no array is longer than the user text or the list of lengths.
+    sized = (
+        users.withColumn("lengths", lengths)
+        .select("user", "folded", F.explode("lengths").alias("n"))
+        .filter(F.col("n") <= F.char_length("folded"))
     )
+    places = F.sequence(F.lit(1), F.char_length("folded") - F.col("n") + 1)
     containing = (
-        users.withColumn("lengths", lengths)
-        .select("user", F.explode(F.array_distinct(parts)).alias("part"))
+        sized.select("user", "folded", "n", F.explode(places).alias("place"))
+        .select("user", F.substring("folded", F.col("place"), F.col("n")).alias("part"))
         .join(tokens, F.col("part") == F.col("folded_value"), "left_semi")
     )
     return exact.select("user").unionByName(containing.select("user")).distinct()
@@ -57,29 +63,32 @@ def _with_exclusion_mark(table: DataFrame, exclusions: Exclusions) -> tuple[Data
     """The table with what the exclusion test needs, and the test."""
     listed = F.lit(False)
     if exclusions.exact or exclusions.contains:
-        table = table.withColumn("_folded_user", fold(F.col("user")))
-        listed = is_listed(F.col("_folded_user"), exclusions)
+        table = table.withColumn(FOLDED_USER, fold(F.col("user")))
+        listed = is_listed(F.col(FOLDED_USER), exclusions)
     if exclusions.table is not None:
         ruled_out = excluded_users(table, exclusions.table).select(
-            F.col("user").alias("_excluded_user")
+            F.col("user").alias(EXCLUDED_USER)
         )
-        table = table.join(ruled_out, F.col("user") == F.col("_excluded_user"), "left")
-        listed = listed | F.col("_excluded_user").isNotNull()
+        table = table.join(ruled_out, F.col("user") == F.col(EXCLUDED_USER), "left")
+        listed = listed | F.col(EXCLUDED_USER).isNotNull()
     return table, listed
 
 
 def _with_state(table: DataFrame, params: Params) -> DataFrame:
-    """Every row with ``event_time_text``, ``event_timestamp`` and ``row_state``.
+    """Every row with ``event_time_text``, ``event_timestamp`` and its state.
 
     The state is ``missing``, ``excluded``, ``invalid`` or ``kept``, the first that applies. Typed
-    times are taken as they are.
+    times are taken as they are; instants become wall-clock times of ``params.time_zone``.
     """
-    typed = dict(table.dtypes)["event_time_raw"].startswith(("timestamp", "date"))
+    kind = dict(table.dtypes)["event_time_raw"]
     table = table.withColumn("event_time_text", strip(F.col("event_time_raw").cast("string")))
     for suffix in params.timestamp_suffixes:
         table = table.withColumn("event_time_text", remove_suffix(F.col("event_time_text"), suffix))
     table, excluded = _with_exclusion_mark(table, params.exclusions)
-    if typed:
+    if kind == "timestamp":
+        session_clock = F.col("event_time_raw").cast("timestamp_ntz")
+        stamp = F.convert_timezone(F.current_timezone(), F.lit(params.time_zone), session_clock)
+    elif kind in ("timestamp_ntz", "date"):
         stamp = F.col("event_time_raw").cast("timestamp_ntz")
     else:
         stamp = parse_event_time(F.col("event_time_text"))
@@ -87,17 +96,17 @@ def _with_state(table: DataFrame, params: Params) -> DataFrame:
         table,
         {
             "user": F.col("user"),
-            "is_excluded": excluded,
+            IS_EXCLUDED: excluded,
             "event_timestamp": stamp,
         },
     )
     state = (
         F.when(F.col("user").isNull() | (F.col("user") == ""), "missing")
-        .when(F.col("is_excluded"), "excluded")
+        .when(F.col(IS_EXCLUDED), "excluded")
         .when(F.col("event_timestamp").isNull(), "invalid")
         .otherwise("kept")
     )
-    return timed.withColumn("row_state", state)
+    return timed.withColumn(ROW_STATE, state)
 
 
 def _with_calendar(table: DataFrame, date_column: str) -> DataFrame:
@@ -117,9 +126,16 @@ def _stripped_user(lowercase: bool) -> Column:
     return F.lower(user) if lowercase else user
 
 
+def _refuse_reserved(raw: DataFrame) -> None:
+    clash = [name for name in raw.columns if name.startswith(RESERVED)]
+    if clash:
+        raise ValueError(f"Reserved column names: {', '.join(clash)}")
+
+
 def _login_rows(raw: DataFrame, params: Params) -> DataFrame:
     """Every raw login row with its state."""
     check_columns(raw, [params.user_column, params.timestamp_column])
+    _refuse_reserved(raw)
     rows = raw.withColumnsRenamed(
         {params.user_column: "user", params.timestamp_column: "event_time_raw"}
     )
@@ -132,9 +148,10 @@ def _kept_rows(rows: DataFrame, date_column: str) -> DataFrame:
         "user_display_name", "event_time_text", "event_timestamp",
         date_column, "year", "month", "year_month",
     ]
-    helpers = ["is_excluded", "row_state", "_folded_user", "_excluded_user"]
-    passed = [f"`{name}`" for name in rows.columns if name not in (*derived, *helpers)]
-    kept = rows.filter(F.col("row_state") == "kept")
+    passed = [
+        f"`{name}`" for name in rows.columns if name not in derived and not name.startswith(RESERVED)
+    ]
+    kept = rows.filter(F.col(ROW_STATE) == "kept")
     named = kept.withColumn("user_display_name", display_name(F.col("user")))
     return _with_calendar(named, date_column).select(*passed, *derived)
 
@@ -144,13 +161,12 @@ def clean_login(raw: DataFrame, params: Params) -> DataFrame:
     return _kept_rows(_login_rows(raw, params), "login_date")
 
 
-def _report(states: DataFrame, rows: Column) -> DataFrame:
+def _report(states: DataFrame, state: Column, rows: Column) -> DataFrame:
     """One row of counters from states and numbers of rows."""
 
     def total(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, rows)), F.lit(0)).cast("long")
 
-    state = F.col("row_state")
     return states.agg(
         total(F.lit(True)).alias("input_rows"),
         total(state == "kept").alias("output_rows"),
@@ -162,7 +178,7 @@ def _report(states: DataFrame, rows: Column) -> DataFrame:
 
 def cleaning_report(raw: DataFrame, params: Params) -> DataFrame:
     """One row of counters. A dropped row counts once: missing, then excluded, then invalid."""
-    return _report(_login_rows(raw, params), F.lit(1))
+    return _report(_login_rows(raw, params), F.col(ROW_STATE), F.lit(1))
 
 
 def login_day_states(raw: DataFrame, params: Params) -> DataFrame:
@@ -171,11 +187,11 @@ def login_day_states(raw: DataFrame, params: Params) -> DataFrame:
     Dropped rows are counted per state only. Once written, the table yields both the per-day
     activity and the cleaning report without reading the raw audit again.
     """
-    is_kept = F.col("row_state") == "kept"
+    is_kept = F.col(ROW_STATE) == "kept"
     return (
         _login_rows(raw, params)
         .groupBy(
-            "row_state",
+            F.col(ROW_STATE).alias("row_state"),
             F.when(is_kept, F.col("user")).alias("user"),
             F.when(is_kept, F.col("event_timestamp").cast("date")).alias("activity_date"),
         )
@@ -190,21 +206,18 @@ def kept_days(states: DataFrame) -> DataFrame:
 
 def report_of_states(states: DataFrame) -> DataFrame:
     """The cleaning report in ``login_day_states``."""
-    return _report(states, F.col("event_count"))
+    return _report(states, F.col("row_state"), F.col("event_count"))
 
 
 def clean_denials(raw: DataFrame, params: Params) -> DataFrame:
-    """Denial rows: label, then user, then exclusions, then time. Unordered; see ``in_time_order``."""
-    if set(DENIAL_COLUMNS) <= set(raw.columns):
-        return raw.select(*DENIAL_COLUMNS)
+    """Denial rows: label, then user, then exclusions, then time, whatever the input's columns."""
     required = [
         params.denial_user_column,
         params.denial_timestamp_column,
         params.denial_label_column,
     ]
-    if not set(required) <= set(raw.columns) and raw.isEmpty():
-        return empty_table(raw.sparkSession, DENIAL_COLUMNS)
     check_columns(raw, required, "ADU ")
+    _refuse_reserved(raw)
     rows = (
         raw.withColumnsRenamed(
             {
@@ -219,6 +232,14 @@ def clean_denials(raw: DataFrame, params: Params) -> DataFrame:
     return _kept_rows(_with_state(rows, params), "denial_date")
 
 
+def in_time_order_within_months(cleaned: DataFrame) -> DataFrame:
+    """Cleaned rows ready to be written by ``year_month``: each task's rows by month, time and user.
+
+    Nothing is shuffled; a reader of one month merges sorted files.
+    """
+    return cleaned.sortWithinPartitions("year_month", "event_timestamp", "user")
+
+
 def in_time_order(cleaned: DataFrame) -> DataFrame:
     """Cleaned rows by time, then user.
 

@@ -81,8 +81,7 @@ def flag_technicians(users: DataFrame, technicians: DataFrame) -> DataFrame:
 def add_denial_flags(users: DataFrame, denial_summary: DataFrame, params: Params) -> DataFrame:
     """Users with the denials of every denied user of the same name."""
     return (
-        with_name_key(users)
-        .join(_denial_side(denial_summary), _KEY, "left")
+        match_list(with_name_key(users), _KEY, _denial_side(denial_summary), _KEY)
         .withColumns(_denial_flags(params))
         .select(*users.columns, *FLAG_COLUMNS[2:])
     )
@@ -91,18 +90,13 @@ def add_denial_flags(users: DataFrame, denial_summary: DataFrame, params: Params
 def flag_users(
     users: DataFrame, technicians: DataFrame, denial_summary: DataFrame, params: Params
 ) -> DataFrame:
-    """Both flags in one join of the users.
+    """Both flags.
 
-    The two short sides are put together by key first, so the user table is shuffled at most once
-    and, being the outer side of a single left join, can be split when one name is very common.
+    Technicians are unique by name, so users are the outer side of a left join and can be split when
+    a name is very common. Denied users of a name are not unique; they come by an inner join, of
+    which either side can be split, and an anti join.
     """
-    sides = _technician_side(technicians).join(_denial_side(denial_summary), _KEY, "full")
-    return (
-        with_name_key(users)
-        .join(sides, _KEY, "left")
-        .withColumns({**_technician_flag(), **_denial_flags(params)})
-        .select(*users.columns, *FLAG_COLUMNS)
-    )
+    return add_denial_flags(flag_technicians(users, technicians), denial_summary, params)
 
 
 def technician_matches(technicians: DataFrame, users: DataFrame) -> DataFrame:

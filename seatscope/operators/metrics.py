@@ -128,13 +128,18 @@ def overview_metrics(daily: DataFrame, users: DataFrame, report: DataFrame) -> D
 
 def assigned_with_denials(analysis: DataFrame, denial_summary: DataFrame, params: Params) -> DataFrame:
     """One row: denied users whose display name is, letter for letter, a shared-licence holder's."""
-    assigned = analysis.filter(F.col("allocated_licence") == params.shared_licence).select(
-        "named_user"
+    assigned = (
+        analysis.filter(F.col("allocated_licence") == params.shared_licence)
+        .groupBy("named_user")
+        .agg(F.count("*").alias("holders"))
     )
-    # Null-safe, because a plain equality would add a not-null filter below the shared aggregates.
+    denied = denial_summary.groupBy("user_display_name").agg(F.count("*").alias("denied"))
+    # Rows per name are counted on both sides and multiplied, so that no pairs are made. Null-safe,
+    # because a plain equality would add a not-null filter below the shared aggregates.
     same_name = F.col("user_display_name").eqNullSafe(F.col("named_user"))
-    return denial_summary.join(assigned, same_name, "inner").agg(
-        F.count("*").alias("assigned_with_denials")
+    pairs = F.sum(F.col("holders") * F.col("denied"))
+    return denied.join(assigned, same_name, "inner").agg(
+        F.coalesce(pairs, F.lit(0)).alias("assigned_with_denials")
     )
 
 

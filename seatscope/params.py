@@ -15,22 +15,6 @@ MISSING_TOKENS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-# Test and administration accounts left out by default; all but the last carry the
-# name of the organisation that runs the system.
-DEFAULT_EXCLUDED_ACCOUNTS = (
-    "WPS Test", "PLM Test", "orgadmin", "bfpubadmin", "bfwcadmin", "PLM C",
-)
-DEFAULT_EXCLUDED_SITE_ACCOUNT = "Site Administrator (SiteAdmin: Site)"
-
-
-def default_exclusions(organisation: str | None = None) -> tuple[str, ...]:
-    """Default excluded users, written ``account (account: organisation)``."""
-    accounts = DEFAULT_EXCLUDED_ACCOUNTS if organisation else ()
-    return (
-        *(f"{account} ({account}: {organisation})" for account in accounts),
-        DEFAULT_EXCLUDED_SITE_ACCOUNT,
-    )
-
 
 @dataclass(frozen=True)
 class Source:
@@ -46,8 +30,8 @@ class Source:
 class Exclusions:
     """Users left out of the review.
 
-    ``exact`` and ``contains`` are short lists that become literals in the scan filter. Lists too
-    long for that stay a ``(kind, value)`` table in ``table`` and are joined instead.
+    ``exact`` and ``contains`` are given in code and become literals in the scan filter. ``table``
+    is a ``(kind, value)`` table, such as that of an exclusions file, and is joined.
     """
 
     exact: tuple[str, ...] = ()
@@ -79,7 +63,8 @@ class Params:
     lowercase_users: bool = False
     timestamp_suffixes: tuple[str, ...] = (" BST", " GMT")
     missing_tokens: tuple[str, ...] = MISSING_TOKENS
-    exclusions: Exclusions = Exclusions(exact=default_exclusions())
+    exclusions: Exclusions = Exclusions()
+    time_zone: str = "UTC"  # in which typed instants are read as wall-clock times
 
     regular_min_active_days: float = 8.0
     occasional_min_active_days: float = 2.0
@@ -91,28 +76,17 @@ class Params:
 
 def build_params(
     *,
-    organisation: str | None = None,
     file_exclusions: Exclusions | None = None,
-    disable_default_exclusions: bool = False,
     **overrides: object,
 ) -> Params:
     """Defaults with overrides. An empty override keeps the default; ``False`` and ``0`` are values.
 
-    Excluded users are the defaults, unless disabled, followed by those read from a file.
+    Excluded users are those of the file, if given, and there are no built-in ones.
     """
     known = {f.name for f in fields(Params)}
     unknown = sorted(set(overrides) - known)
     if unknown:
         raise TypeError(f"Unknown parameters: {', '.join(unknown)}")
-    file_exclusions = file_exclusions or Exclusions()
-    defaults = () if disable_default_exclusions else default_exclusions(organisation)
     kept = {name: value for name, value in overrides.items() if value not in (None, "", ())}
-    kept.setdefault(
-        "exclusions",
-        Exclusions(
-            exact=defaults + file_exclusions.exact,
-            contains=file_exclusions.contains,
-            table=file_exclusions.table,
-        ),
-    )
+    kept.setdefault("exclusions", file_exclusions or Exclusions())
     return replace(Params(), **kept)

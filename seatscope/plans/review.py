@@ -119,6 +119,16 @@ REPORT_SECTIONS = {
 }
 
 
+# The metrics of the executive summary that head the overall analysis.
+OVERALL_METRICS = (
+    "PLM login records analysed", "PLM users analysed", "Regular PLM users", "Occasional PLM users",
+    "Rare PLM users",
+)
+
+# Cleaned rows; written by month, in time order within each.
+SOURCE_ROWS = ("raw_login", "raw_denials")
+
+
 def in_report_order(name: str, table: DataFrame) -> DataFrame:
     order = REPORT_ORDER.get(name)
     return table.orderBy(*_nulls_last(*order)) if order else table
@@ -167,8 +177,8 @@ def build_tables(
     named_summary = matching.named_licence_summary(analysis, monthly_users)
     ranked = denials.ranked_adu_users(denied)
     return {
-        "raw_login": clean.in_time_order(cleaned_login),
-        "raw_denials": clean.in_time_order(cleaned_denials),
+        "raw_login": cleaned_login,
+        "raw_denials": cleaned_denials,
         "cleaning_report": report,
         "user_summary": users,
         "regular_users": activity.users_by_category(users, REGULAR),
@@ -177,7 +187,7 @@ def build_tables(
         "adu_user_summary": denied,
         "adu_monthly_denials": denials.adu_monthly_denials(denial_daily),
         "monthly_active_users": monthly_users,
-        "monthly_activity": activity.monthly_activity(daily),
+        "monthly_activity": activity.monthly_activity(daily, activity.months_of(monthly_users)),
         "category_summary": activity.category_summary(users),
         "most_active_users": activity.most_active_users(users),
         "at_risk_rare_users": activity.at_risk_rare_users(users),
@@ -195,7 +205,7 @@ def build_tables(
         "licence_balance": recommend.licence_balance(advice),
         "unused_licence_evidence": recommend.unused_licence_evidence(advice),
         "executive_summary": executive,
-        "overall_metrics": executive.limit(5),
+        "overall_metrics": executive.filter(F.col("metric").isin(*OVERALL_METRICS)),
         "overview_metrics": metrics.overview_metrics(daily, users, report),
         "estate_metrics": metrics.estate_metrics(analysis, denied, advice, monthly_users, params),
         "named_vs_average": metrics.named_vs_average(analysis, monthly_users),
@@ -215,11 +225,22 @@ def write_review(
 ) -> list[str]:
     """Build every table and write each one once, in report order."""
     configure(spark)
-    tables = build_tables(spark, inputs, params, StagedTables(spark))
-    for name in ("user_summary", "regular_users", "occasional_users", "rare_users"):
-        tables[name] = with_highlight(tables[name])
-    ordered = {name: in_report_order(name, table) for name, table in tables.items()}
-    return writers.write_tables(ordered, params.output_path, output_format)
+    staged = StagedTables(spark)
+    try:
+        tables = build_tables(spark, inputs, params, staged)
+        for name in ("user_summary", "regular_users", "occasional_users", "rare_users"):
+            tables[name] = with_highlight(tables[name])
+        rows = {name: tables.pop(name) for name in SOURCE_ROWS}
+        ordered = {name: in_report_order(name, table) for name, table in tables.items()}
+        folders = writers.write_tables(ordered, params.output_path, output_format)
+        return folders + writers.write_tables(
+            {name: clean.in_time_order_within_months(table) for name, table in rows.items()},
+            params.output_path,
+            output_format,
+            partition_by="year_month",
+        )
+    finally:
+        staged.remove()
 
 
 def run_review(spark: SparkSession, params: Params, output_format: str = "parquet") -> list[str]:

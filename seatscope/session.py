@@ -56,6 +56,12 @@ class StagedTables:
         table.write.parquet(path)
         return self._spark.read.schema(table.schema).parquet(path)
 
+    def remove(self) -> None:
+        """Delete what this run has staged; its tables cannot be read afterwards."""
+        jvm, context = self._spark._jvm, self._spark._jsc.sc()
+        path = jvm.org.apache.hadoop.fs.Path(self._root)
+        path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
+
 
 def unstaged(name: str, table: DataFrame) -> DataFrame:
     """Leave the table lazy; for a single query Spark reuses equal shuffles on its own."""

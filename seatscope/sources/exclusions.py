@@ -13,8 +13,6 @@ EXCLUSION_FIELDS = {
     "excluded_user_exact_values": "exact",
     "excluded_user_contains_values": "contains",
 }
-# Lists up to this length become literals in the scan filter; longer ones are joined as a table.
-INLINE_LIMIT = 1000
 
 
 def _field_problem(field: str) -> Column:
@@ -87,12 +85,5 @@ def read_exclusions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_exclusions(spark: SparkSession, path: str) -> Exclusions:
-    """Exclusions ready for use in ``Params``: literals for a short list, a table for a long one."""
-    rows = read_exclusions(spark, path)
-    head = rows.take(INLINE_LIMIT + 1)
-    if len(head) > INLINE_LIMIT:
-        return Exclusions(table=rows)
-    return Exclusions(
-        exact=tuple(row["value"] for row in head if row["kind"] == "exact"),
-        contains=tuple(row["value"] for row in head if row["kind"] == "contains"),
-    )
+    """Exclusions ready for use in ``Params``: always a table, whatever the length of the lists."""
+    return Exclusions(table=read_exclusions(spark, path))

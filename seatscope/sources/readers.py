@@ -17,18 +17,6 @@ FILE_FORMATS = ("csv", "parquet", "json", "orc")
 CSV_OPTIONS = {"header": "true", "inferSchema": "false", "quote": '"', "escape": '"'}
 JSON_OPTIONS = {"primitivesAsString": "true"}
 
-DENIAL_COLUMNS = {
-    "event_label": "string",
-    "event_time_raw": "string",
-    "user": "string",
-    "user_display_name": "string",
-    "event_time_text": "string",
-    "event_timestamp": "timestamp_ntz",
-    "denial_date": "date",
-    "year": "int",
-    "month": "int",
-    "year_month": "string",
-}
 TECHNICIAN_COLUMNS = {
     "production_technician_name": "string",
     "production_technician_match_key": "string",
@@ -125,9 +113,10 @@ def read_login_audit(spark: SparkSession, params: Params) -> DataFrame:
 
 
 def read_denial_audit(spark: SparkSession, params: Params) -> DataFrame:
-    """The denial audit, or an empty cleaned-shape table when the input is absent."""
+    """The denial audit, or an empty audit when the parameters name none."""
     if params.denials is None:
-        return empty_table(spark, DENIAL_COLUMNS)
+        names = (params.denial_label_column, params.denial_timestamp_column, params.denial_user_column)
+        return empty_table(spark, dict.fromkeys(names, "string"))
     return read_input(spark, params.denials, params)
 
 

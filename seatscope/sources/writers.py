@@ -17,7 +17,11 @@ OUTPUT_OPTIONS = {
 
 
 def write_tables(
-    tables: Mapping[str, DataFrame], path: str, output_format: str = "parquet", at_once: int = 4
+    tables: Mapping[str, DataFrame],
+    path: str,
+    output_format: str = "parquet",
+    at_once: int = 4,
+    partition_by: str | None = None,
 ) -> list[str]:
     """Write each table, replacing what an earlier run left there. Returns the folders written.
 
@@ -29,6 +33,8 @@ def write_tables(
     def write(name: str) -> str:
         folder = f"{path.rstrip('/')}/{name}"
         writer = tables[name].write.mode("overwrite").format(output_format)
+        if partition_by:
+            writer = writer.partitionBy(partition_by)
         writer.options(**OUTPUT_OPTIONS[output_format]).save(folder)
         return folder
 

@@ -58,7 +58,7 @@ def test_empty_activity(spark):
     assert dicts(users) == []
     assert [row["percentage_of_total_users"] for row in dicts(activity.category_summary(users))] == [None] * 3
     assert dicts(activity.monthly_active_users(none)) == []
-    assert activity.monthly_activity(none).columns == ["user", "user_display_name", "Total"]
+    assert activity.monthly_activity(none, []).columns == ["user", "user_display_name", "Total"]
     assert dicts(activity.average_monthly_users(activity.monthly_active_users(none))) == [
         {"average_monthly_users": 0.0}
     ]
@@ -69,7 +69,8 @@ def test_months_matrix_and_labels(spark):
         spark,
         [("u (u: x)", "2026-03-01", 4), ("u (u: x)", "2026-03-02", 1), ("v", "2025-12-31", 1)],
     )
-    matrix = activity.monthly_activity(days)
+    matrix = activity.monthly_activity(days, activity.months_of(activity.monthly_active_users(days)))
+    assert {u: r["Total"] for u, r in by_user(matrix).items()} == {"u (u: x)": 2, "v": 1}
     assert matrix.columns == ["user", "user_display_name", "2025-12", "2026-03", "Total"]
     assert by_user(matrix)["u (u: x)"]["2026-03"] == 2
     assert by_user(matrix)["v"]["2026-03"] == 0

@@ -4,10 +4,12 @@ from dataclasses import replace
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 from helpers import PLAIN, audit, denial_audit, dicts, executed_plan
 
 from seatscope.operators import activity, clean
-from seatscope.params import Exclusions, Params, default_exclusions
+from seatscope.sources import readers
+from seatscope.params import Exclusions, Params
 
 LABEL = Params().denial_label
 
@@ -40,7 +42,7 @@ DIRTY = [
 
 
 def test_drops_and_counts_each_row_once(spark):
-    params = Params(exclusions=Exclusions(exact=default_exclusions("Acme")))
+    params = Params(exclusions=Exclusions(exact=("WPS Test (WPS Test: Acme)",)))
     raw = audit(spark, [*DIRTY, (None, "junk"), ("WPS Test (WPS Test: Acme)", "junk")])
     kept = dicts(clean.clean_login(raw, params))
     assert [row["user"] for row in kept] == ["Included User (Included User: Acme)"]
@@ -145,13 +147,52 @@ def test_denials_keep_the_exact_label_only(spark):
     assert rows[0]["denial_date"] == date(2026, 4, 15)
 
 
-def test_denials_do_not_lowercase_and_accept_an_empty_input(spark):
+def test_input_columns_named_like_results_pass_through(spark):
+    raw = spark.createDataFrame(
+        [("u", "2026-01-01 00:00:00", "r", 1, "f")],
+        "`User Name` string, `Event Time` string, row_state string, is_excluded int, _folded_user string",
+    )
+    params = replace(PLAIN, exclusions=Exclusions(exact=("x",)))
+    row = dicts(clean.clean_login(raw, params))[0]
+    assert (row["row_state"], row["is_excluded"], row["_folded_user"]) == ("r", 1, "f")
+    with pytest.raises(ValueError, match="Reserved column names: __seatscope_row_state"):
+        clean.clean_login(raw.withColumnRenamed("row_state", "__seatscope_row_state"), params)
+
+
+def test_denials_in_the_shape_of_results_are_cleaned_too(spark):
+    raw = denial_audit(spark, [(LABEL, "2026-04-15 11:00:00", "Ada"), ("Other", "2026-04-15 11:00:00", "Ada")])
+    shaped = clean.clean_denials(raw, PLAIN)
+    again = replace(
+        PLAIN, denial_user_column="user", denial_timestamp_column="event_time_raw", denial_label_column="event_label"
+    )
+    blank = shaped.withColumn("user", F.lit(" "))
+    assert clean.clean_denials(shaped.unionByName(blank), again).count() == 1
+    with pytest.raises(ValueError, match="Missing required ADU columns"):
+        clean.clean_denials(shaped, PLAIN)
+
+
+def test_instants_are_read_in_the_named_zone(spark):
+    rows = spark.sql("SELECT 'u' AS `User Name`, TIMESTAMP'2026-07-01 23:30:00Z' AS `Event Time`")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for session_zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", session_zone)
+            for zone, hour in (("UTC", 23), ("Europe/Paris", 1)):
+                row = clean.clean_login(rows, replace(PLAIN, time_zone=zone)).first()
+                assert row["event_timestamp"].hour == hour
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_denials_do_not_lowercase(spark):
     raw = denial_audit(spark, [(LABEL, "2026-04-15 11:00:00", "Ada")])
     assert dicts(clean.clean_denials(raw, replace(PLAIN, lowercase_users=True)))[0]["user"] == "Ada"
-    assert clean.clean_denials(spark.range(0), PLAIN).columns == [
+    absent = clean.clean_denials(readers.read_denial_audit(spark, PLAIN), PLAIN)
+    assert absent.columns == [
         "event_label", "event_time_raw", "user", "user_display_name", "event_time_text",
         "event_timestamp", "denial_date", "year", "month", "year_month",
     ]
+    assert absent.isEmpty()
 
 
 def test_rows_in_time_order_keep_input_order_among_equals(spark):

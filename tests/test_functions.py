@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from datetime import datetime
 
 import pandas as pd
@@ -89,10 +90,19 @@ def test_whitespace_set_and_class_agree():
 
 
 def test_fold_of_parameter_equals_fold_of_column(spark):
-    items = ["Straße", "ẞ", "ﬃ", "ΣΑΣ", "Plain Text", "ꭰ"]
+    items = ["Straße", "ẞ", "ﬃ", "ΣΑΣ", "Plain Text", "ꭰ", "ŉa", "ᾳ", "ẘx ﬓ"]
     assert evaluate(spark, items, text.fold) == [text.fold_text(item) for item in items]
 
 
+def test_every_character_folds_as_in_python(spark):
+    every = [chr(code) for code in range(1, 0x110000) if not 0xD800 <= code <= 0xDFFF]
+    assert [c for c in every if text.fold_text(c) != c.casefold()] == []
+    known = [c for c in every if unicodedata.category(c) != "Cn"]  # a newer Java knows some more letters
+    folded = evaluate(spark, known, text.fold)
+    wrong = [c for c, f in zip(known, folded) if f != c.casefold()]
+    assert wrong == []
+
+
 def test_round2_is_half_even_after_scaling(spark):
     numbers = [1.015, 2.675, 0.125, 0.135, 33.333333, -1.005]
     expected = pd.Series(numbers).round(2).tolist()

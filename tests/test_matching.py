@@ -1,11 +1,12 @@
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date
 
 from helpers import PLAIN, daily, dicts, executed_plan, values
 from pyspark.sql import functions as F
 
-from seatscope.operators import activity, denials, matching, metrics, recommend
+from seatscope.operators import activity, clean, denials, matching, metrics, recommend
 from seatscope.operators.reshape import first_per_key
 from seatscope.plans.review import in_report_order
 from seatscope.sources import readers
@@ -166,7 +167,8 @@ def test_absent_optional_inputs(spark):
         "named": readers.empty_table(spark, readers.NAMED_COLUMNS),
     }
     denied = denials.adu_user_summary(
-        activity.daily_activity(readers.empty_table(spark, readers.DENIAL_COLUMNS), "denial_date"), PLAIN
+        activity.daily_activity(clean.clean_denials(readers.read_denial_audit(spark, PLAIN), PLAIN), "denial_date"),
+        PLAIN,
     )
     flagged = matching.flag_users(users, none["technicians"], denied, PLAIN)
     row = dicts(flagged)[0]
@@ -196,9 +198,17 @@ def test_first_row_per_key_is_limited_before_the_shuffle(spark):
     assert plan.rindex("WindowGroupLimit") > plan.index("Exchange hashpartitioning")
 
 
-def test_one_user_join_for_both_flags(spark):
+def test_common_names_can_be_split_in_flag_joins(spark):
     users = users_of(spark, ("Ann (x)", 9))
     flagged = matching.flag_users(users, technicians(spark, "Bob"), denied_of(spark, ("Ann (x)", 1, 1)), PLAIN)
     plan = executed_plan(flagged)
-    assert plan.count("LeftOuter") == 1
+    assert "FullOuter" not in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_assigned_with_denials_counts_without_pairs(spark):
+    analysis = spark.createDataFrame([("Kim", "S")] * 300 + [("kim", "S"), ("Lee", "S"), (None, "S"), ("Kim", "T")], "named_user string, allocated_licence string")
+    denied = spark.createDataFrame([("Kim",)] * 200 + [("LEE",), (None,)], "user_display_name string")
+    counted = metrics.assigned_with_denials(analysis, denied, replace(PLAIN, shared_licence="S"))
+    assert dicts(counted) == [{"assigned_with_denials": 300 * 200 + 1}]
+    assert dicts(metrics.assigned_with_denials(analysis.limit(0), denied, PLAIN)) == [{"assigned_with_denials": 0}]

@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+from dataclasses import replace
+from pathlib import Path
+
+import pandas as pd
 import pytest
 from helpers import audit, denial_audit, dicts
 
@@ -104,3 +108,20 @@ def test_staged_tables_use_the_shared_folder(spark):
     staged = StagedTables(spark)("numbers", spark.range(3))
     assert sorted(row["id"] for row in staged.collect()) == [0, 1, 2]
     assert staged.inputFiles()[0].startswith(f"file://{named}/seatscope-")
+
+
+def test_a_run_removes_what_it_staged(spark, params, written):
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.glob("seatscope-*"))
+    review.run_review(spark, replace(params, output_path=f"{params.output_path}-again"))
+    with pytest.raises(ValueError):
+        review.run_review(spark, params, "xlsx")
+    assert set(folder.glob("seatscope-*")) == before
+
+
+def test_source_rows_are_written_by_month_in_order(params, written):
+    months = sorted(path.name for path in Path(params.output_path, "raw_login").glob("year_month=*"))
+    assert months == ["year_month=2026-01", "year_month=2026-02"]
+    (part,) = Path(params.output_path, "raw_login", months[0]).glob("*.parquet")
+    stamps = pd.read_parquet(part)["event_timestamp"].tolist()
+    assert len(stamps) == 9 and stamps == sorted(stamps)

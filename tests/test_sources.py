@@ -3,10 +3,11 @@ from __future__ import annotations
 import json
 
 import pytest
-from helpers import dicts
+from helpers import audit, dicts
 from pyspark.errors import AnalysisException, SparkRuntimeException
 
-from seatscope.params import Exclusions, Params, Source, build_params, default_exclusions
+from seatscope.operators import clean
+from seatscope.params import Exclusions, Params, Source, build_params
 from seatscope.plans.review import in_report_order
 from seatscope.sources import exclusions, readers, writers
 
@@ -109,11 +110,12 @@ def test_exclusions_file(spark, tmp_path):
     payload = {"excluded_user_exact_values": ["Exact User"], "excluded_user_contains_values": ["service"]}
     path = write_json(tmp_path / "exclusions.json", payload)
     loaded = exclusions.load_exclusions(spark, path)
-    assert (loaded.exact, loaded.contains) == (("Exact User",), ("service",))
-    assert exclusions.load_exclusions(spark, str(tmp_path / "none.json")) == Exclusions()
+    assert (loaded.exact, loaded.contains) == ((), ())
+    assert sorted(map(tuple, loaded.table.collect())) == [("contains", "service"), ("exact", "Exact User")]
+    assert exclusions.load_exclusions(spark, str(tmp_path / "none.json")).table.count() == 0
     for partial in ({}, {"excluded_user_exact_values": []}, {"other": 1}):
         path = write_json(tmp_path / "partial.json", partial)
-        assert exclusions.load_exclusions(spark, path) == Exclusions()
+        assert exclusions.load_exclusions(spark, path).table.count() == 0
 
 
 @pytest.mark.parametrize(
@@ -140,11 +142,16 @@ def test_malformed_exclusions_are_refused(spark, tmp_path, payload, message):
         exclusions.parse_exclusions(texts).collect()
 
 
-def test_long_exclusion_list_stays_a_table(spark, tmp_path):
-    many = [f"user {n}" for n in range(exclusions.INLINE_LIMIT + 1)]
-    path = write_json(tmp_path / "exclusions.json", {"excluded_user_exact_values": many})
-    loaded = exclusions.load_exclusions(spark, path)
-    assert loaded.exact == () and loaded.table.count() == len(many)
+@pytest.mark.parametrize("size", [0, 1, 300, 999, 1000, 1001, 5000])
+def test_lists_of_any_length_take_the_same_route(spark, tmp_path, size):
+    tokens = [f"svc-{n:04d}-" for n in range(size)]
+    path = write_json(tmp_path / "exclusions.json", {"excluded_user_contains_values": tokens})
+    raw = audit(spark, [(f"my SVC-{n:04d}-x", "2026-01-01 00:00:00") for n in (0, 299, 998, 999, 1000, 4999, 7000)])
+    from_file = build_params(file_exclusions=exclusions.load_exclusions(spark, path))
+    in_code = build_params(exclusions=Exclusions(contains=tuple(tokens)))
+    left = sum(n >= size for n in (0, 299, 998, 999, 1000, 4999, 7000))
+    for params in (from_file, in_code):
+        assert clean.clean_login(raw, params).count() == left
 
 
 def test_build_params(spark, tmp_path):
@@ -153,10 +160,8 @@ def test_build_params(spark, tmp_path):
         {"excluded_user_exact_values": ["Custom"], "excluded_user_contains_values": ["fragment"]},
     )
     from_file = exclusions.load_exclusions(spark, path)
-    bare = build_params(file_exclusions=from_file, disable_default_exclusions=True)
-    assert (bare.exclusions.exact, bare.exclusions.contains) == (("Custom",), ("fragment",))
-    both = build_params(organisation="Acme", file_exclusions=from_file)
-    assert both.exclusions.exact == (*default_exclusions("Acme"), "Custom")
+    assert build_params(file_exclusions=from_file).exclusions == from_file
+    assert build_params().exclusions == Exclusions()
     assert build_params(user_column="", recent_days=None) == Params()
     assert build_params(lowercase_users=True, recent_days=30).recent_days == 30
     with pytest.raises(TypeError, match="Unknown parameters: colour"):
