@@ -81,7 +81,8 @@ def flag_technicians(users: DataFrame, technicians: DataFrame) -> DataFrame:
 def add_denial_flags(users: DataFrame, denial_summary: DataFrame, params: Params) -> DataFrame:
     """Users with the denials of every denied user of the same name."""
     return (
-        match_list(with_name_key(users), _KEY, _denial_side(denial_summary), _KEY)
+        with_name_key(users)
+        .join(_denial_side(denial_summary), _KEY, "left")
         .withColumns(_denial_flags(params))
         .select(*users.columns, *FLAG_COLUMNS[2:])
     )
@@ -90,13 +91,18 @@ def add_denial_flags(users: DataFrame, denial_summary: DataFrame, params: Params
 def flag_users(
     users: DataFrame, technicians: DataFrame, denial_summary: DataFrame, params: Params
 ) -> DataFrame:
-    """Both flags.
+    """Both flags in two left joins on the one shuffle of the users.
 
-    Technicians are unique by name, so users are the outer side of a left join and can be split when
-    a name is very common. Denied users of a name are not unique; they come by an inner join, of
-    which either side can be split, and an anti join.
+    Users are the outer side of both, so a very common name can be split among tasks. Technicians
+    are unique by name; denied users of one name are read by each task that has users of it.
     """
-    return add_denial_flags(flag_technicians(users, technicians), denial_summary, params)
+    return (
+        with_name_key(users)
+        .join(_technician_side(technicians), _KEY, "left")
+        .join(_denial_side(denial_summary), _KEY, "left")
+        .withColumns({**_technician_flag(), **_denial_flags(params)})
+        .select(*users.columns, *FLAG_COLUMNS)
+    )
 
 
 def technician_matches(technicians: DataFrame, users: DataFrame) -> DataFrame:
