@@ -40,7 +40,7 @@ class ToxicityParams:
     min_documents: int = 2
     steps: int = 600
     step_size: float = 0.05
-    sparsity: float = 0.006  # L1 strength, divided by the root of the number of toxic examples
+    sparsity: float = 0.004  # L1 strength, divided by the root of the number of toxic examples
     prior_range: tuple[float, float] = (0.002, 0.5)
 
 
