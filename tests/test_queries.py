@@ -6,6 +6,8 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from harness.check import connect, oracle_rows, spark_rows
+from harness.oracle import ORACLE_SQL
+from harness.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -16,10 +18,11 @@ def connection():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE_SQL)
+    assert set(QUERIES) <= set(queries()) and set(ORACLE_SQL) <= set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, connection, name):
     assert spark_rows(spark, name, SF_DIR) == oracle_rows(connection, name)
 
