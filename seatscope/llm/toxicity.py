@@ -46,7 +46,7 @@ class ToxicityParams:
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Sorted word hashes with a weight each; without words every document scores ``floor``."""
+    """Sorted word hashes with a weight each; without words the bias alone decides."""
 
     words: np.ndarray
     weights: np.ndarray
@@ -105,7 +105,7 @@ def learn(
 ) -> ToxicityModel:
     """``hashes[i]`` is a distinct word of row ``rows[i]``; ``toxic`` marks confirmed rows."""
     n_toxic, n_unlabelled = int(toxic.sum()), int((~toxic).sum())
-    empty = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), -50.0, prior)
+    empty = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), -np.inf, prior)
     if not n_toxic or not n_unlabelled or not len(hashes):
         return empty
     vocabulary, column = np.unique(hashes.view(np.uint64), return_inverse=True)
@@ -166,7 +166,7 @@ def text_scores(texts: pa.Array, model: ToxicityModel) -> np.ndarray:
             row = np.searchsorted(found.rows, hit, "right") - 1
             pairs = np.unique(row * len(model.words) + at[hit])
             margin += np.bincount(pairs // len(model.words), model.weights[pairs % len(model.words)], block.rows)
-        scores.append(1 / (1 + np.exp(-np.clip(margin, -700, 700))))
+        scores.append(np.exp(-np.logaddexp(0, -margin)))
     return np.concatenate(scores)
 
 
