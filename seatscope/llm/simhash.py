@@ -17,7 +17,8 @@ any other; a null id never names a component unless all its ids are null; repeat
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -156,12 +157,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = SHINGLE_W
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """One document of each component: that with the smallest id. Columns unchanged.
+    """One document of each component: that with the smallest id. Columns unchanged."""
+    return keep_first(spark, docs, near_duplicates(spark, docs, width), partial(with_fingerprint, width=width))
+
+
+def keep_first(
+    spark: SparkSession, docs: DataFrame, found: DataFrame, with_print: Callable[[DataFrame, str], DataFrame]
+) -> DataFrame:
+    """Of each component in ``found`` (as from ``near_duplicates``) the document with the smallest id.
 
     Texts are shuffled once, against the ids that stay. Only rows that share an id are compared
     by fingerprint again, as an id alone does not name them.
     """
-    found = staged(spark, near_duplicates(spark, docs, width))
+    found = staged(spark, found)
     stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     ids = found.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n"))
     once = stays.join(ids.filter("n = 1"), stays["doc_id"].eqNullSafe(ids["id"]), "left_semi")
@@ -169,7 +177,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, width: int = SHINGLE_
     single = docs.join(once, docs["doc_id"].eqNullSafe(once["id"]), "left_semi")
     shared = ids.filter("n > 1")
     f, root = free_name("f", docs.columns), free_name("root", docs.columns)
-    repeated = with_fingerprint(docs.join(shared, docs["doc_id"].eqNullSafe(shared["id"]), "left_semi"), f, width)
+    repeated = with_print(docs.join(shared, docs["doc_id"].eqNullSafe(shared["id"]), "left_semi"), f)
     where = stays.select(F.col("doc_id").alias("_id"), F.col("f").alias("_f"), F.col("root").alias(root)).distinct()
     repeated = repeated.join(where, repeated["doc_id"].eqNullSafe(where["_id"]) & (repeated[f] == where["_f"]))
     return single.unionByName(repeated.dropDuplicates([root]).select(*docs.columns))
