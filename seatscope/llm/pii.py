@@ -42,6 +42,18 @@ _PATTERN = re.compile(
     """,
     re.VERBOSE,
 )
+# Characters of a bank account number by country; of other countries only a whole match is tried.
+_IBAN_SIZES = {
+    country: size
+    for size, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+        21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+        32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 _MAY_MATCH = re.compile(r"[0-9@]")
 
 _ALPHABETS = [
@@ -64,6 +76,16 @@ def iban_remainder(country: str, check: str, account: str) -> int:
     return int("".join(str(int(c, 36)) for c in account + country + check)) % 97
 
 
+def _iban_part(match: str) -> str:
+    """The beginning of ``match`` that has the length of its country and ends with a word, else all of it."""
+    size = _IBAN_SIZES.get(match[:2])
+    ends = [i + 1 for i, c in enumerate(match) if c != " "]
+    if size is None or size > len(ends):
+        return match
+    end = ends[size - 1]
+    return match[:end] if match[end : end + 1] in ("", " ") else match
+
+
 class Pseudonymiser:
     """Replaces and restores values under one key."""
 
@@ -81,15 +103,18 @@ class Pseudonymiser:
         """The text with its values replaced (or restored), and their number."""
         if not _MAY_MATCH.search(text):
             return text, 0
-        count = 0
-
-        def swap(match: re.Match) -> str:
-            nonlocal count
-            new = self._value(next(k for k in self._kinds if match[k] is not None), match[0], restore)
-            count += new is not None
-            return match[0] if new is None else new
-
-        return _PATTERN.sub(swap, text), count
+        count, parts, copied, at = 0, [], 0, 0
+        while match := _PATTERN.search(text, at):
+            kind = next(k for k in self._kinds if match[k] is not None)
+            value = _iban_part(match[0]) if kind == "iban" else match[0]
+            new = self._value(kind, value, restore)
+            at = match.start() + len(value)
+            if new is not None:
+                parts += [text[copied : match.start()], new]
+                copied, count = at, count + 1
+            elif kind == "iban":  # what it took may hold another value
+                at = match.start() + 1
+        return "".join([*parts, text[copied:]]), count
 
     def _uncached(self, kind: str, value: str, restore: bool) -> str | None:
         return self._kinds[kind](value, restore)

@@ -60,6 +60,29 @@ def test_what_is_not_valid_stays(text):
     assert SWAP(text) == (text, 0)
 
 
+@pytest.mark.parametrize(
+    "value,after",
+    [
+        ("DE89370400440532013000", " BIC COBADEFFXXX"), ("DE89 3704 0044 0532 0130 00", " AND MORE"),
+        ("DE89370400440532013000", " 2024"), ("DE89370400440532013000", " GB"), ("GB82WEST12345698765432", " A B1 C"),
+    ],
+)
+def test_bank_accounts_before_capitals_and_digits(value, after):
+    new, count = SWAP(f"X {value}{after}")
+    swapped = new[2 : 2 + len(value)]
+    compact = swapped.replace(" ", "")
+    assert count == 1 and new == f"X {swapped}{after}" and swapped != value
+    assert iban_remainder(compact[:2], compact[2:4], compact[4:]) == 1
+    assert SWAP(new, restore=True) == (f"X {value}{after}", 1)
+
+
+def test_values_after_what_only_looks_like_a_bank_account():
+    text = "AB12 4845168114407329 and DE00 DE89 3704 0044 0532 0130 00 END"
+    new, count = SWAP(text)
+    assert count == 2 and new[:5] == text[:5] and new[5:21] != text[5:21] and new[-4:] == " END"
+    assert SWAP(new, restore=True) == (text, 2)
+
+
 def test_check_numbers():
     new = SWAP("4012 8888 8888 1881")[0].replace(" ", "")
     assert luhn_digit(new[:-1]) == int(new[-1])
