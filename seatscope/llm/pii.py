@@ -37,8 +37,11 @@ _PATTERN = re.compile(
   | (?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))
   | (?P<card>(?<![0-9.])(?:[0-9]{13,19}|[0-9]{4}(?P<cardsep>[ -])[0-9]{4}(?P=cardsep)[0-9]{4}(?P=cardsep)[0-9]{1,7}
         |[0-9]{4}(?P<amex>[ -])[0-9]{6}(?P=amex)[0-9]{5})(?![0-9]))
-  | (?P<phone>(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}
-        |\+[0-9]{8,15}|(?:\([0-9]{3}\)[ ]?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4})(?![0-9]))
+  | (?P<phone>(?<![0-9A-Za-z+])(?:\+1(?:[ ./-]?\(?[0-9]\)?){10}|\+[0-9](?:[ ./-]?\(?[0-9]\)?){7,14}
+        |(?:\([0-9]{3}\)[ ]?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4})(?![0-9]))
+  | (?P<local>(?<![0-9A-Za-z+])(?<![0-9][ ./-])(?:0[1-9](?P<pairsep>[ .])[0-9]{2}(?:(?P=pairsep)[0-9]{2}){3}
+        |0[1-9][0-9]{1,3}[ /][0-9]{5,8}|[2-9][0-9]{2}[ ][0-9]{3}[ ][0-9]{4}|[6-9][0-9]{2}[ ][0-9]{3}[ ][0-9]{3}
+        |[6-9][0-9]{2}(?:[ ][0-9]{2}){3}|[6-9][0-9][ ][0-9]{3}(?:[ ][0-9]{2}){2})(?![ ./-]?[0-9])(?![A-Za-z]))
     """,
     re.VERBOSE,
 )
@@ -95,7 +98,7 @@ class Pseudonymiser:
         self._key = key
         self._kinds: dict[str, Callable[[str, bool], str | None]] = {
             "email": self._email, "iban": self._iban, "ip": self._ip, "iso": self._iso, "day": self._day,
-            "ssn": self._ssn, "card": self._card, "phone": self._phone,
+            "ssn": self._ssn, "card": self._card, "phone": self._phone, "local": self._local,
         }
         self._value = lru_cache(maxsize=1 << 14)(self._uncached)
 
@@ -239,6 +242,11 @@ class Pseudonymiser:
         kept = len(code[0]) - 1 if code else (1 if value[0] == "+" else 0)
         return self._digits("phone", value, kept, digits, restore)
 
+    def _local(self, value: str, restore: bool) -> str | None:
+        """National forms; what tells them apart, the first digit or after a zero two, stays."""
+        digits = sum(c.isdigit() for c in value)
+        return self._digits("local", value, 2 if value[0] == "0" else 1, digits, restore)
+
 
 def _valid_date(year: int, month: int, day: int) -> date | None:
     try:

@@ -83,6 +83,26 @@ def test_values_after_what_only_looks_like_a_bank_account():
     assert SWAP(new, restore=True) == (text, 2)
 
 
+PHONES = [
+    "+33 1 23 45 67 89", "+34 612 34 56 78", "+34 91 123 45 67", "+44 (0)20 7946 0958", "+49 30 1234 5678 90", "+1 415 555 2671",
+    "06 12 34 56 78", "01.23.45.67.89", "030 1234567", "0221/123456", "555 123 4567", "612 34 56 78", "91 123 45 67", "612 345 678",
+]
+
+
+@pytest.mark.parametrize("value", PHONES)
+def test_phones_of_several_countries(value):
+    text = f"call {value}, or {value}."
+    new, count = SWAP(text)
+    swapped = new[5 : 5 + len(value)]
+    assert count == 2 and new == f"call {swapped}, or {swapped}." and swapped != value
+    assert SWAP(new, restore=True) == (text, 2)
+
+
+def test_a_year_after_a_phone_stays():
+    new, count = SWAP("+1 (017) 555-7713 2024")
+    assert count == 1 and new.endswith(" 2024")
+
+
 def test_check_numbers():
     new = SWAP("4012 8888 8888 1881")[0].replace(" ", "")
     assert luhn_digit(new[:-1]) == int(new[-1])
