@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatscope.llm.frames import staged
+from seatscope.llm.frames import discard, staged
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -40,7 +40,8 @@ def component_roots(spark: SparkSession, pairs: DataFrame) -> DataFrame:
     edges = staged(spark, edges.distinct())
     before = _signature(edges)
     while before[0]:
-        edges = staged(spark, _small_star(_large_star(edges).distinct()).distinct())
+        last, edges = edges, staged(spark, _small_star(_large_star(edges).distinct()).distinct())
+        discard(spark, last)
         after = _signature(edges)
         if after == before:
             break

@@ -20,11 +20,18 @@ class Permutation:
         self._key, self._kind, self.size = key, kind.encode(), size
         self._a = isqrt(max(size - 1, 0)) + 1
         self._b = -(-size // self._a)
+        # As wide as the half it is added to, and 16 bytes more, so that every remainder is as likely.
+        self._noise_bytes = (self._a.bit_length() + 7) // 8 + 16
         self._inside = inside or (lambda _: True)
 
     def _noise(self, number: int, half: int) -> int:
-        text = b"%d|%d|%d|%s" % (number, self.size, half, self._kind)
-        return int.from_bytes(blake2b(text, key=self._key, digest_size=64).digest())
+        text = blake2b(b"%d|%x|%x|%s" % (number, self.size, half, self._kind), key=self._key)
+        stream = b""
+        while len(stream) < self._noise_bytes:
+            part = text.copy()
+            part.update(b"|%d" % len(stream))
+            stream += part.digest()
+        return int.from_bytes(stream[: self._noise_bytes])
 
     def _network(self, value: int, sign: int) -> int:
         right, left = divmod(value, self._a)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable
+from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 from seatscope.session import shared_folder
 
 
+_PREFIX = "llm-"
+
+
 def remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor
@@ -31,6 +35,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def staged(spark: SparkSession, table: DataFrame) -> DataFrame:
     """Write ``table`` to the shared folder and read it back: computed once, lineage cut."""
-    path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{_PREFIX}{uuid.uuid4().hex}"
     table.write.parquet(path)
     return spark.read.schema(table.schema).parquet(path)
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Remove what ``staged`` has written for these tables; nothing may read them afterwards."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for table in tables:
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            if PurePosixPath(folder).name.startswith(_PREFIX):
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(conf).delete(path, True)

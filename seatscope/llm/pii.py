@@ -4,7 +4,8 @@ Validated values are replaced by others of the same format through keyed Feistel
 stay Luhn-valid, bank accounts keep a right check number, dates stay dates, addresses stay addresses.
 Equal values get equal pseudonyms in every document, different values different ones, and who holds
 the key can restore them. Numbers that only look the part (a card number with a wrong check digit)
-are left alone. The length of a text never changes.
+are left alone. The length of a text never changes. Not found, and so left as they are: bank numbers in
+small letters or with hyphens, addresses with accents after the ``@``, dates with names of months, IPv6.
 
 Defined results: a null text stays null with no replacements; an empty text stays empty; rows are kept
 one to one in any number, repeated rows get equal results; other columns pass through, and a counter
@@ -14,12 +15,13 @@ whose name is taken gets underscores.
 from __future__ import annotations
 
 import re
+import secrets
 from collections.abc import Callable, Iterator
 from datetime import date
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from seatscope.llm.feistel import Permutation
@@ -256,6 +258,23 @@ def _valid_date(year: int, month: int, day: int) -> date | None:
     return found if FIRST_DAY <= found.toordinal() <= LAST_DAY else None
 
 
+KEY_SETTING = "spark.seatscope.pseudonym.secret"  # Spark hides values of such names in its logs
+
+
+@lru_cache
+def _drawn_key(application: str) -> bytes:
+    return secrets.token_bytes(32)
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key in ``KEY_SETTING``, or else one drawn for this application alone.
+
+    Pseudonyms under a drawn key are linked within the application, but nobody can restore them.
+    """
+    given = spark.conf.get(KEY_SETTING, None)
+    return given.encode() if given else _drawn_key(spark.sparkContext.applicationId)
+
+
 def pseudonymise(
     docs: DataFrame, key: bytes, column: str = "text", count: str | None = "n_replaced", restore: bool = False
 ) -> DataFrame:

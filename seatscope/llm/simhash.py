@@ -176,8 +176,8 @@ def keep_first(
     once = once.select(F.col("doc_id").alias("id"))
     single = docs.join(once, docs["doc_id"].eqNullSafe(once["id"]), "left_semi")
     shared = ids.filter("n > 1")
-    f, root = free_name("f", docs.columns), free_name("root", docs.columns)
+    f, root, id_of, f_of = (free_name(name, docs.columns) for name in ("f", "root", "id_of", "f_of"))
     repeated = with_print(docs.join(shared, docs["doc_id"].eqNullSafe(shared["id"]), "left_semi"), f)
-    where = stays.select(F.col("doc_id").alias("_id"), F.col("f").alias("_f"), F.col("root").alias(root)).distinct()
-    repeated = repeated.join(where, repeated["doc_id"].eqNullSafe(where["_id"]) & (repeated[f] == where["_f"]))
+    where = stays.select(F.col("doc_id").alias(id_of), F.col("f").alias(f_of), F.col("root").alias(root)).distinct()
+    repeated = repeated.join(where, F.col("doc_id").eqNullSafe(F.col(id_of)) & (F.col(f) == F.col(f_of)))
     return single.unionByName(repeated.dropDuplicates([root]).select(*docs.columns))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +26,8 @@ ALPHANUMERIC[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = Tr
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-# An odd multiplier has an inverse modulo 2**64, which turns prefix sums into hashes of substrings.
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_LANE_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_LONG_WORD = 256  # bytes, from which on words are hashed one by one
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -40,13 +39,6 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
-def _powers(length: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(length, _BASE, np.uint64), np.full(length, _BASE_INVERSE, np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
 @dataclass(frozen=True)
 class Block:
     """Rows ``first`` to ``last`` of a batch: ``data`` holds their bytes, ``offsets`` where each begins."""
@@ -113,15 +105,32 @@ def find_words(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray) -> Wo
     return Words(starts, np.flatnonzero(finishes) + 1, np.searchsorted(starts, offsets))
 
 
-def word_hashes(data: np.ndarray, words: Words) -> np.ndarray:
-    """A 64-bit hash of each word, the same wherever the word stands; never zero."""
+def word_hashes(data: np.ndarray, words: Words, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word, the same wherever the word stands; never zero.
+
+    Eight bytes at a time are mixed into a state by a non-linear bijection, so there are no strings that
+    collide by construction of the hash, as there are for polynomials modulo 2**64.
+    """
     if not len(words.starts):
         return np.zeros(0, np.uint64)
-    size = 1 << max(16, (len(data) - 1).bit_length())
-    up, down = _powers(size)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    length = (words.ends - words.starts).astype(np.uint64)
-    hashed = mix((sums[words.ends] - sums[words.starts]) * down[words.starts] + length)
+    padded = np.append(data, np.zeros(8, np.uint8))
+    lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    length = words.ends - words.starts
+    hashed = mix(length.astype(np.uint64) * _LANE_MULTIPLIER + np.uint64(seed + 1))
+    left, at, which = length, words.starts, np.arange(len(length))
+    short = length < _LONG_WORD
+    if not short.all():
+        raw = data.tobytes()
+        for i in np.flatnonzero(~short).tolist():
+            digest = blake2b(raw[words.starts[i] : words.ends[i]], digest_size=8, salt=seed.to_bytes(8)).digest()
+            hashed[i] = int.from_bytes(digest)
+        left, at, which = left[short], at[short], which[short]
+    while len(which):
+        lane = lanes[at]
+        cut = np.maximum(8 - left, 0).astype(np.uint64) * np.uint64(8)  # bits of the lane beyond the word
+        lane = (lane << cut) >> cut
+        hashed[which] = mix((hashed[which] ^ lane) * _LANE_MULTIPLIER + np.uint64(1))
+        more = left > 8
+        left, at, which = left[more] - 8, at[more] + 8, which[more]
     hashed[hashed == 0] = 1
     return hashed

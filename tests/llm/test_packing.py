@@ -31,6 +31,14 @@ def test_ids_equal_those_of_the_tokenizer(edge_rows):
         assert [ids.tolist() for ids in encode(pa.array(texts, pa.string()))] == [plain_ids(t) for t in texts]
 
 
+def test_words_that_collide_under_polynomial_hashes_keep_their_ids():
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    texts = [word, word.translate(str.maketrans("ab", "ba"))]
+    assert [ids.tolist() for ids in WordEncoder(PATH)(pa.array(texts))] == [plain_ids(t) for t in texts]
+
+
 @pytest.mark.parametrize("window,max_open", [(16, 1000), (16, 3), (64, 8)])
 def test_every_token_lies_in_one_window(window, max_open):
     rng = random.Random(window + max_open)

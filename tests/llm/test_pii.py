@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
@@ -131,3 +132,17 @@ def test_rows_and_columns_stay(spark, documents, edge_rows):
     assert back.columns == docs.columns
     assert sorted(map(str, back.collect())) == sorted(map(str, docs.collect()))
     assert pseudonymise(documents([]), KEY).count() == 0
+
+
+@pytest.mark.parametrize("local,labels", [(64, 4), (64, 8), (9, 4), (40, 6)])
+def test_long_addresses_leave_nothing_in_clear(local, labels):
+    rng = random.Random(local)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    value = f"{letters(local)}@{'.'.join(letters(62) for _ in range(labels))}.com"
+    new, count = SWAP(f"write to {value} now")
+    assert count == 1 and SWAP(new, restore=True)[0] == f"write to {value} now"
+    changed = new[len("write to ") : -len(" now")]
+    assert len(changed) == len(value)
+    # A letter stays with a chance of 1 in 26, at the beginning as anywhere.
+    for at in range(0, len(value) - 20, 8):
+        assert sum(a == b and a.isalpha() for a, b in zip(value[at : at + 16], changed[at : at + 16])) < 9

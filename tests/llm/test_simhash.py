@@ -115,7 +115,9 @@ def test_one_of_each_stays(spark, documents):
     rng = random.Random(1)
     text = " ".join(str(rng.randrange(10**6)) for _ in range(400))
     rows = [(5, text), (3, text), (3, text), (8, text + " end"), (4, None), (6, ""), (7, "alone"), (3, "other text"), (None, "void")]
-    docs = documents(rows, ("f long", 1), ("root string", "r"), ("id int", 2))
+    clashing = [("f long", 1), ("root string", "r"), ("id int", 2)]
+    clashing += [(f"{name} int", 3) for name in ("_id", "_f", "id_of", "f_of", "n", "component_id", "least")]
+    docs = documents(rows, *clashing)
     kept = keep_one_of_each(spark, docs)
     assert kept.columns == docs.columns
     got = sorted(((r["doc_id"], r["text"], r["f"], r["root"], r["id"]) for r in kept.collect()), key=str)

@@ -44,6 +44,15 @@ def test_equal_words_have_equal_hashes_and_no_others():
     assert len({next(iter(h)) for h in seen.values()}) == len(seen)
 
 
+def test_words_that_collide_under_polynomial_hashes():
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    text = f"{word} {word.translate(str.maketrans('ab', 'ba'))} {word[:128]} {word[128:256]}"
+    (block,) = blocks(pa.array([text]), 1 << 20)
+    assert len(set(word_hashes(block.data, find_words(block.data, block.offsets, NON_SPACE)).tolist())) == 4
+
+
 def test_slices_and_empty_columns():
     column = pa.array(["skip", "one two", None, "three"]).slice(1)
     assert words_of(column.to_pylist(), NON_SPACE) == [["one", "two"], [], ["three"]]
