@@ -146,3 +146,37 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
   sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(words) AS contaminated
 FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 """
+
+
+_LETTERS = "(SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x)"
+
+ORACLE_SQL["op11_audit"] = f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '{_SPACE}+'), lambda x: x <> '') AS words,
+    min(doc_id) OVER (PARTITION BY t) AS first_id FROM d),
+f AS (SELECT doc_id, part, (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+    + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first_id, false)::INT AS failed FROM w),
+known AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x
+  FROM f LEFT JOIN known USING (doc_id) GROUP BY ALL),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+  FROM {_LETTERS} a, {_LETTERS} b, {_LETTERS} c, {_LETTERS} d, {_LETTERS} e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS bit,
+    list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65))) AS before
+  FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders)),
+r AS (SELECT part, filter_order, step, bit,
+    sum(n) FILTER (failed & (coalesce(before, 0)::INT | bit::INT) = 0) AS kept,
+    sum(n) FILTER (failed & coalesce(before, 0)::INT = 0 AND failed & bit::INT > 0) AS removed,
+    sum(n) FILTER (failed & coalesce(before, 0)::INT > 0 AND failed & bit::INT > 0) AS redundant,
+    sum(n) FILTER (failed = bit) AS unique_fails,
+    sum(g) FILTER (failed & coalesce(before, 0)::INT = 0 AND failed & bit::INT > 0) AS good_lost,
+    sum(x) FILTER (failed & coalesce(before, 0)::INT = 0 AND failed & bit::INT > 0) AS toxic_lost
+  FROM c, steps GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+  coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley
+FROM r
+"""

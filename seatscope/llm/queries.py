@@ -6,20 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seatscope.llm.audit import audit_filters
 from seatscope.llm.chat import format_turns, read_back
 from seatscope.llm.decontaminate import find_contamination
 from seatscope.llm.frames import remainder
 from seatscope.llm.language import fit_language, predict_language
 from seatscope.llm.packing import pack_documents
-from seatscope.llm.pii import pseudonymise
+from seatscope.llm.pii import pseudonymise, session_key
 from seatscope.llm.quality import fit_quality, score_quality
 from seatscope.llm.rules import apply_rules
 from seatscope.llm.simhash import near_duplicates
 from seatscope.llm.toxicity import fit_toxicity, score_toxicity
 from seatscope.llm.urls import Rule, filter_urls
 
-EXAMPLE_KEY = b"an example key; keep yours secret"
-
 URL_RULES = [
     Rule("block", "net", "/"),
     Rule("allow", "example.net", "/en/"),
@@ -45,7 +44,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), EXAMPLE_KEY)
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
 
 
 def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +105,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return audit_filters(spark, docs, table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_pii": op2_pii,
@@ -117,4 +121,5 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
+    "op11_audit": op11_audit,
 }
