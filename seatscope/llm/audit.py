@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatscope.llm.frames import let, staged
+from seatscope.llm.frames import let, staged, tidy
 
 FILTERS = "ABCDE"
 _SUBSETS = 1 << len(FILTERS)
@@ -139,7 +139,7 @@ def survivors(failed: DataFrame) -> DataFrame:
     Reads columns ``part``, ``label`` (1 for good, plus 2 for toxic) and ``failed``.
     """
     counted = failed.select("part", "label", "failed").mapInArrow(
-        _counted, "part string, label int, survivors array<long>"
+        tidy(_counted), "part string, label int, survivors array<long>"
     )
 
     def total(bit: int) -> Column:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seatscope.llm.frames import tidy
 from seatscope.llm.words import ALPHANUMERIC, LOWER, blocks, find_words, word_hashes
 
 WINDOW_WORDS = 13
@@ -272,7 +273,7 @@ def find_contamination(
             values = _summarise(batch.column(text_at), windows, width)
             yield pa.RecordBatch.from_arrays([*batch.columns, *values], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(searched, schema)
+    return docs.mapInArrow(tidy(searched), schema)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:

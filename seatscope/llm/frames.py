@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import PurePosixPath
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,11 @@ def staged(spark: SparkSession, table: DataFrame) -> DataFrame:
     return spark.read.schema(table.schema).parquet(path)
 
 
+def one_text_each(table: DataFrame, *keys: str) -> DataFrame:
+    """One row per value of ``keys``, with the first of its texts in order: a bound on keys is one on rows."""
+    return table.groupBy(*keys).agg(F.min("text").alias("text"))
+
+
 def discard(spark: SparkSession, *tables: DataFrame) -> None:
     """Remove what ``staged`` has written for these tables; nothing may read them afterwards."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -48,3 +56,22 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
             if PurePosixPath(folder).name.startswith(_PREFIX):
                 path = jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(conf).delete(path, True)
+
+
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``work`` for ``mapInArrow``, after which the worker gives unused memory back to the system.
+
+    Workers live on from task to task, and the memory of numpy and Arrow would stay with them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seatscope.llm.frames import free_name
+from seatscope.llm.frames import free_name, one_text_each, tidy
 from seatscope.llm.gru import ByteTagger, GruParams, train
 from seatscope.llm.words import Block, blocks
 
@@ -53,9 +53,10 @@ def training_windows(docs: DataFrame, training: Column, params: LanguageParams)
     chosen = F.broadcast(ids.select("doc_id", "lang").distinct())
     room = F.greatest(F.length("text") - params.gru.window + 1, F.lit(1))
     place = F.pmod(F.xxhash64("doc_id", F.lit("window")), room) + 1
-    return usable.join(chosen, ["doc_id", "lang"]).select(
-        "lang", F.substring("text", place.cast("int"), F.lit(params.gru.window)).alias("text")
+    windows = usable.join(chosen, ["doc_id", "lang"]).select(
+        "doc_id", "lang", F.substring("text", place.cast("int"), F.lit(params.gru.window)).alias("text")
     )
+    return one_text_each(windows, "doc_id", "lang").select("lang", "text")
 
 
 def fit_language(docs: DataFrame, training: Column, params: LanguageParams | None = None) -> LanguageModel:
@@ -121,4 +122,4 @@ def predict_language(docs: DataFrame, model: LanguageModel, name: str = "lang_pr
             columns = [*batch.columns, pa.array(languages, pa.string()), pa.array(scores)]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, name, score])
 
-    return docs.mapInArrow(predicted, T.StructType([*docs.schema.fields, *added]))
+    return docs.mapInArrow(tidy(predicted), T.StructType([*docs.schema.fields, *added]))

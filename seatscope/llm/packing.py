@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from seatscope.llm.frames import tidy
 from seatscope.llm.words import LOWER, Words, blocks, word_hashes
 
 WINDOW = 4096
@@ -297,4 +298,4 @@ def pack_documents(
         yield from _batches(_rows(windows(), TaskContext.get().partitionId() << 40), with_ids)
 
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
-    return docs.select("doc_id", "text").mapInArrow(packed, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(packed), schema)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seatscope.llm.features import NAMES, text_features
-from seatscope.llm.frames import free_name
+from seatscope.llm.frames import free_name, one_text_each, tidy
 
 
 @dataclass(frozen=True)
@@ -189,8 +189,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, training: Column, params: Qu
     labelled = usable.groupBy("doc_id").agg(F.max(F.col("quality").cast("double")).alias("good"))
     chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.max_rows)
     # At most max_rows rows of two numbers: small by construction.
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("good", "text")
-    table = texts.mapInArrow(_featured, "good double, features array<double>").toArrow()
+    texts = one_text_each(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "doc_id", "good")
+    table = texts.select("good", "text").mapInArrow(tidy(_featured), "good double, features array<double>").toArrow()
     features = table.column("features").combine_chunks().flatten().to_numpy().reshape(-1, len(NAMES))
     return learn(features, table.column("good").to_numpy(), params)
 
@@ -206,4 +206,4 @@ def score_quality(docs: DataFrame, model: QualityModel, score: str = "score") ->
             values = pa.array(model.score(text_features(batch.column(text_at))))
             yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, score])
 
-    return docs.mapInArrow(scored, schema)
+    return docs.mapInArrow(tidy(scored), schema)

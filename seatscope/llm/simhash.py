@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from seatscope.llm import golay
 from seatscope.llm.components import component_roots
-from seatscope.llm.frames import free_name, staged
+from seatscope.llm.frames import free_name, staged, tidy
 from seatscope.llm.words import LOWER, NON_SPACE, blocks, find_words
 
 SHINGLE_WORDS = 3
@@ -94,7 +94,7 @@ def with_fingerprint(docs: DataFrame, name: str, width: int = SHINGLE_WORDS) ->
             values = pa.array(text_fingerprints(batch.column(text_at), width))
             yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(printed, schema)
+    return docs.mapInArrow(tidy(printed), schema)
 
 
 def fuzzy_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +121,7 @@ def close_pairs(spark: SparkSession, fingerprints: DataFrame, small_bucket: int
 
     Every two such fingerprints are linked, directly or, from crowded keys, through a third.
     """
-    keys = fingerprints.select("f").mapInArrow(_keyed, "key long, f long")
+    keys = fingerprints.select("f").mapInArrow(tidy(_keyed), "key long, f long")
     groups = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("f").alias("a"), F.max("f").alias("b"))
     met = staged(spark, groups.filter("n > 1"))
     members = staged(spark, keys.join(met.filter("n > 2").select("key", "n"), "key"))

@@ -1,6 +1,7 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
-Only confirmed toxic documents and unlabelled text are used for training. A linear model over words
+Only confirmed toxic documents and unlabelled text are used for the weights; the class prior is the share
+of toxic rows among all labelled rows of the training part, so it also looks at rows labelled clean. A linear model over words
 minimises the class-prior-corrected risk
 
     prior * E_toxic[loss(+)]  +  max(0, E_unlabelled[loss(-)] - prior * E_toxic[loss(-)])
@@ -12,7 +13,7 @@ Defined results: a null or empty text has no word and scores by the bias alone;
 a document, or with a null label, is ignored; a document labelled several times is toxic if one row
 says so; with no toxic label in the training rows every score is 0. Documents keep their rows and
 columns, repeated ids included; a result column whose name is taken replaces none of them, the
-caller names it.
+caller names it. Of an id that repeats, the training sample takes one text.
 """
 
 from __future__ import annotations
@@ -26,13 +27,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seatscope.llm.frames import free_name
+from seatscope.llm.frames import free_name, one_text_each, tidy
 from seatscope.llm.words import ALPHANUMERIC, LOWER, blocks, find_words, word_hashes
 
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """Bounds of the training sample and of the optimiser; scoring has none."""
+    """Bounds of the training sample, of the words the model looks at, and of the optimiser; scoring has none.
+
+    ``max_features`` words of at least ``min_documents`` toxic texts are weighed, those that tell most; words
+    beyond them have no weight.
+    """
 
     max_toxic: int = 3000
     max_unlabelled: int = 9000
@@ -76,8 +81,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, training: Column, params:
     unlabelled = ids.orderBy(F.xxhash64(F.col("doc_id"), F.lit("unlabelled")), "doc_id").limit(params.max_unlabelled)
     chosen = confirmed.withColumn("toxic", F.lit(True)).unionByName(unlabelled.withColumn("toxic", F.lit(False)))
     # At most max_toxic + max_unlabelled ids of eight bytes: small by construction.
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    return texts.mapInArrow(_word_sets, "toxic boolean, words array<bigint>")
+    texts = one_text_each(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "doc_id", "toxic")
+    texts = texts.select("toxic", "text")
+    return texts.mapInArrow(tidy(_word_sets), "toxic boolean, words array<bigint>")
 
 
 def class_prior(labels: DataFrame, training: Column, params: ToxicityParams) -> float:
@@ -181,7 +187,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, score: str = "score")
             values = pa.array(text_scores(batch.column(text_at), model))
             yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, score])
 
-    return docs.mapInArrow(scored, schema)
+    return docs.mapInArrow(tidy(scored), schema)
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
