@@ -180,3 +180,30 @@ SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept,
   coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley
 FROM r
 """
+
+
+ORACLE_SQL["op13_phrases"] = """
+WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+f1 AS (SELECT lang, x, count(*) AS f FROM (SELECT lang, unnest(w) AS x FROM w) GROUP BY ALL),
+i AS (SELECT lang, w, unnest(range(1, len(w))) AS i FROM w WHERE len(w) > 1),
+f2 AS (SELECT lang, w[i] AS x, w[i + 1] AS y, count(*) AS f FROM i GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z, count(*) AS f FROM i WHERE i + 2 <= len(w) GROUP BY ALL HAVING count(*) >= 10),
+longer AS (SELECT lang, x, y, max(f) AS f FROM (
+    SELECT lang, x, y, f FROM f3 UNION ALL SELECT lang, y, z, f FROM f3) GROUP BY ALL),
+cuts AS (SELECT f2.lang, f2.x || ' ' || f2.y AS phrase, 1 AS k, f2.f AS a, l.f AS l, r.f AS r
+    FROM f2 JOIN f1 l ON l.lang = f2.lang AND l.x = f2.x JOIN f1 r ON r.lang = f2.lang AND r.x = f2.y
+    LEFT JOIN longer o ON o.lang = f2.lang AND o.x = f2.x AND o.y = f2.y WHERE coalesce(100 * o.f < 50 * f2.f, true)
+  UNION ALL SELECT f3.lang, f3.x || ' ' || f3.y || ' ' || z, 1, f3.f, l.f, r.f
+    FROM f3 JOIN f1 l ON l.lang = f3.lang AND l.x = f3.x JOIN f2 r ON r.lang = f3.lang AND r.x = f3.y AND r.y = z
+  UNION ALL SELECT f3.lang, f3.x || ' ' || f3.y || ' ' || z, 2, f3.f, l.f, r.f
+    FROM f3 JOIN f2 l ON l.lang = f3.lang AND l.x = f3.x AND l.y = f3.y JOIN f1 r ON r.lang = f3.lang AND r.x = z),
+scored AS (SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+best AS (SELECT lang, phrase, a, l, r, score FROM scored
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""

@@ -12,6 +12,7 @@ from seatscope.llm.decontaminate import find_contamination
 from seatscope.llm.frames import remainder
 from seatscope.llm.language import fit_language, predict_language
 from seatscope.llm.packing import pack_documents
+from seatscope.llm.phrases import mine_phrases
 from seatscope.llm.pii import pseudonymise, session_key
 from seatscope.llm.quality import fit_quality, score_quality
 from seatscope.llm.rules import apply_rules
@@ -110,6 +111,10 @@ def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(spark, docs, table(spark, sf_dir, "labels"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(spark, table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_pii": op2_pii,
@@ -122,4 +127,5 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
     "op11_audit": op11_audit,
+    "op13_phrases": op13_phrases,
 }
