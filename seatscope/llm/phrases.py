@@ -21,6 +21,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ _NEVER = 127
 _WORDS_AT_ONCE = 1 << 19
 _SEEN_AT_ONCE = 1 << 20
 _PARTS = 64
+_SLOTS = 16
+_SLOT_ROUNDS = ((0, 0), (1, 4), (5, _SLOTS - 1))
 
 
 @dataclass(frozen=True)
@@ -73,7 +76,7 @@ def _encoded(shards: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         turn = TaskContext.get().partitionId()
-        names = ["shard", "lang", "words", "word"]
+        names = ["shard", "slot", "lang", "group", "words", "word"]
         for batch in batches:
             groups = batch.column(0).dictionary_encode()
             codes = groups.indices.to_numpy(zero_copy_only=False)
@@ -87,10 +90,13 @@ def _encoded(shards: int):
                 kept, begins = np.unique(code[order], return_index=True)
                 lists = np.split(numbers[order].view(np.int64), begins[1:]) if len(kept) else []
                 turn += 1
+                langs = groups.dictionary.take(pa.array(kept))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([turn % shards] * len(kept), pa.int32()),
-                        groups.dictionary.take(pa.array(kept)),
+                        pa.array([turn // shards % _SLOTS] * len(kept), pa.int32()),
+                        langs,
+                        pa.array([_group_key(name) for name in langs.to_pylist()], pa.int64()),
                         pa.array(lists, pa.list_(pa.int64())),
                         pa.nulls(len(kept), pa.string()),
                     ],
@@ -105,7 +111,9 @@ def _encoded(shards: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([-1] * len(new), pa.int32()),
+                        pa.nulls(len(new), pa.int32()),
                         pa.nulls(len(new), pa.string()),
+                        pa.nulls(len(new), pa.int64()),
                         pa.array([[h] for h, _ in new], pa.list_(pa.int64())),
                         pa.array([raw[found.starts[i] : found.ends[i]].decode() for _, i in new], pa.string()),
                     ],
@@ -115,25 +123,35 @@ def _encoded(shards: int):
     return encode
 
 
-_STAGED = "lang string, words array<long>, word string, shard int"
+_STAGED = "slot int, lang string, group long, words array<long>, word string"
 
 
 def staged_words(spark: SparkSession, docs: DataFrame, group: str, shards: int) -> DataFrame:
-    """``lang``, ``words`` (numbers, zero between pieces) by ``shard``; shard -1 holds the spellings."""
+    """``lang``, its ``group`` key, ``words`` (numbers, zero between pieces) by ``shard`` and ``slot``.
+
+    Shard -1 holds the spelling of each number.
+    """
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
     given = docs.select(F.coalesce(F.col(group).cast("string"), F.lit("und")).alias("lang"), "text")
-    rows = given.mapInArrow(tidy(_encoded(shards)), "shard int, lang string, words array<long>, word string")
+    rows = given.mapInArrow(tidy(_encoded(shards)), f"shard int, {_STAGED}")
     rows.write.partitionBy("shard").parquet(path)
-    return spark.read.schema(_STAGED).parquet(path)
+    return spark.read.schema(f"{_STAGED}, shard int").parquet(path)
+
+
+def _group_key(name: str) -> int:
+    raw = np.frombuffer(name.encode(), np.uint8)
+    if not len(raw):
+        return 0
+    return int(word_hashes(raw, Words(np.array([0]), np.array([len(raw)]), np.array([0, 1]))).view(np.int64)[0])
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Numbers of many rows in a piece, and a key of the group for each; no phrase is cut by a slice."""
+    """Numbers of many rows in a piece, and the group key for each; no phrase is cut by a slice."""
     for batch in batches:
-        for name, row in zip(batch.column(0).to_pylist(), range(batch.num_rows)):
+        keys = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        for row in range(batch.num_rows):
             numbers = batch.column(1).slice(row, 1).flatten().to_numpy().view(np.uint64)
-            raw = np.frombuffer(name.encode(), np.uint8)
-            group = word_hashes(raw, Words(np.array([0]), np.array([len(raw)]), np.array([0, 1]))) if len(raw) else _ODD
+            group = keys[row]
             at = 0
             while at < len(numbers):
                 upto = min(at + _WORDS_AT_ONCE, len(numbers))
@@ -232,7 +250,7 @@ def count_phrases(spark: SparkSession, words: DataFrame, params: PhraseParams) -
     tick, last = 0, 0
     while tick <= max(params.shards - 1, last + params.shards):
         filters = spark.sparkContext.broadcast(maps)
-        shard = words.filter(F.col("shard") == tick % params.shards).select("lang", "words")
+        shard = words.filter(F.col("shard") == tick % params.shards).select("group", "words")
         rows = shard.mapInArrow(tidy(_counter(tick, params, filters)), "size byte, key long, since byte, n long")
         merged = (
             state.unionByName(rows.withColumn("reached", F.lit(None).cast("byte")))
@@ -255,39 +273,35 @@ def count_phrases(spark: SparkSession, words: DataFrame, params: PhraseParams) -
 
 
 def _definitions(filters, bits: int):
-    """``key``, ``size``, ``lang``, the words and the parts of every phrase that the bit maps have."""
+    """``group``, the words and the parts of every phrase that the bit maps have, once or a few times a task."""
 
     def define(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = filters.value
-        for batch in batches:
-            for row in range(batch.num_rows):
-                one = batch.slice(row, 1)
-                name = one.column(0)[0].as_py()
-                for numbers, group in _slices(iter([one])):
-                    keys = phrase_keys(numbers, group)
-                    for size in (2, 3):
-                        key, whole = keys[size - 1]
-                        at = np.flatnonzero(whole)
-                        at = at[_is_in(maps[size], _bits_of(key[at], bits))]
-                        found, first = np.unique(key[at], return_index=True)
-                        at = at[first]
-                        third = numbers[at + 2] if size == 3 else np.zeros(len(at), np.uint64)
-                        one_word, shorter = keys[0][0], keys[size - 2][0]
-                        cut_1, cut_2 = (one_word[at], shorter[at + 1]), (shorter[at], one_word[at + size - 1])
-                        columns = [found, numbers[at], numbers[at + 1], third, *cut_1, *cut_2]
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(np.full(len(at), size, np.int8)),
-                                pa.array([name] * len(at), pa.string()),
-                                *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns),
-                            ],
-                            names=["size", "lang", *_KEYS],
-                        )
+        known = np.zeros(0, np.uint64)
+        for numbers, group in _slices(batches):
+            keys = phrase_keys(numbers, group)
+            if len(known) > _SEEN_AT_ONCE:
+                known = np.zeros(0, np.uint64)
+            for size in (2, 3):
+                key, whole = keys[size - 1]
+                at = np.flatnonzero(whole)
+                at = at[_is_in(maps[size], _bits_of(key[at], bits))]
+                found, first = np.unique(key[at], return_index=True)
+                new = ~np.isin(found, known, assume_unique=True)
+                at, found = at[first[new]], found[new]
+                known = np.concatenate([known, found])
+                third = numbers[at + 2] if size == 3 else np.zeros(len(at), np.uint64)
+                one_word, shorter = keys[0][0], keys[size - 2][0]
+                cut_1, cut_2 = (one_word[at], shorter[at + 1]), (shorter[at], one_word[at + size - 1])
+                columns = [found, group[at], numbers[at], numbers[at + 1], third, *cut_1, *cut_2]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns], names=_KEYS
+                )
 
     return define
 
 
-_KEYS = ["key", "w1", "w2", "w3", "left_1", "right_1", "left_2", "right_2"]
+_KEYS = ["key", "group", "w1", "w2", "w3", "left_1", "right_1", "left_2", "right_2"]
 
 
 def _score(a: str, left: str, right: str) -> Column:
@@ -299,21 +313,28 @@ def _score(a: str, left: str, right: str) -> Column:
 
 def candidates(spark: SparkSession, words: DataFrame, counts: DataFrame, params: PhraseParams) -> DataFrame:
     """Phrases of two and three words with ``a``, ``l``, ``r``, ``score``, those inside longer ones dropped."""
-    maps = {size: _bitmap(counts.filter(F.col("size") == size), params.filter_bits) for size in (2, 3)}
-    filters = spark.sparkContext.broadcast(maps)
-    kinds = "size byte, lang string, " + ", ".join(f"{name} long" for name in _KEYS)
-    texts = words.filter(F.col("shard") >= 0).select("lang", "words")
-    defined = texts.mapInArrow(tidy(_definitions(filters, params.filter_bits)), kinds)
-    defined = staged(spark, defined.dropDuplicates(["size", "key"]))
-    of = {size: counts.filter(F.col("size") == size).select(F.col("key").alias(f"key_{size}"), "n") for size in (1, 2, 3)}
+    wanted = counts.filter("size > 1")
+    defined, missing = [], wanted
+    # Frequent phrases are met in a few slots already; the other slots are searched for the rest only.
+    for first, upto in _SLOT_ROUNDS:
+        maps = {size: _bitmap(missing.filter(F.col("size") == size), params.filter_bits) for size in (2, 3)}
+        filters = spark.sparkContext.broadcast(maps)
+        slots = words.filter((F.col("shard") >= 0) & F.col("slot").between(first, upto)).select("group", "words")
+        found = slots.mapInArrow(tidy(_definitions(filters, params.filter_bits)), ", ".join(f"{k} long" for k in _KEYS))
+        found = found.groupBy("key").agg(*(F.first(name).alias(name) for name in _KEYS[1:]))
+        defined.append(staged(spark, found.join(missing, "key")))
+        filters.destroy()
+        missing = staged(spark, missing.join(defined[-1].select("key"), "key", "left_anti"))
+    groups = words.filter(F.col("shard") >= 0).select("lang", F.col("group").alias("of_group")).distinct()
+    whole = reduce(DataFrame.unionByName, defined).withColumnRenamed("n", "a")
+    whole = whole.join(groups, F.col("group") == F.col("of_group"))
+    of = {size: counts.filter(F.col("size") == size).select(F.col("key").alias(f"key_{size}"), "n") for size in (1, 2)}
 
     def looked_up(table: DataFrame, size: int, key: str, name: str) -> DataFrame:
         return table.join(of[size].withColumnRenamed("n", name), F.col(key) == F.col(f"key_{size}")).drop(f"key_{size}")
 
-    pairs = defined.filter("size = 2")
-    pairs = looked_up(looked_up(looked_up(pairs, 2, "key", "a"), 1, "left_1", "l"), 1, "right_1", "r")
-    triples = looked_up(defined.filter("size = 3"), 3, "key", "a")
-    triples = looked_up(looked_up(triples, 1, "left_1", "l_1"), 2, "right_1", "r_1")
+    pairs = looked_up(looked_up(whole.filter("size = 2"), 1, "left_1", "l"), 1, "right_1", "r")
+    triples = looked_up(looked_up(whole.filter("size = 3"), 1, "left_1", "l_1"), 2, "right_1", "r_1")
     triples = staged(spark, looked_up(looked_up(triples, 2, "left_2", "l_2"), 1, "right_2", "r_2"))
     longer = triples.select(F.explode(F.array("left_2", "right_1")).alias("inner_key"), "a")
     longer = longer.groupBy("inner_key").agg(F.max("a").alias("longest"))
@@ -336,10 +357,12 @@ def _spelt(words: DataFrame, rows: DataFrame) -> DataFrame:
     spellings = words.filter(F.col("shard") == -1).select(F.col("words")[0].alias("number"), "word")
     wanted = rows.select(F.explode(F.array("w1", "w2", "w3")).alias("wanted")).distinct()
     spellings = spellings.join(wanted, F.col("number") == F.col("wanted"), "left_semi").distinct()
-    for name in ("w1", "w2", "w3"):
+    is_pair = F.col("w3") == 0
+    rows = rows.withColumn("last", F.when(is_pair, F.col("w1")).otherwise(F.col("w3")))  # no key that all pairs share
+    for name in ("w1", "w2", "last"):
         own = spellings.select(F.col("number").alias(f"{name}_number"), F.col("word").alias(f"{name}_text"))
-        rows = rows.join(own, F.col(name) == F.col(f"{name}_number"), "left").drop(f"{name}_number")
-    return rows.withColumn("phrase", F.concat_ws(" ", "w1_text", "w2_text", "w3_text"))
+        rows = rows.join(own, F.col(name) == F.col(f"{name}_number")).drop(f"{name}_number")
+    return rows.withColumn("phrase", F.concat_ws(" ", "w1_text", "w2_text", F.when(~is_pair, F.col("last_text"))))
 
 
 def mine_phrases(
