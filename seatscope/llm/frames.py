@@ -58,6 +58,19 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str, total: int, weight: str = "n") -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has one row per ``key`` and its number of rows in ``weight``.
+
+    Keys with more than a ten-thousandth of ``total`` rows, of which there are at most ten thousand, are
+    broadcast; so no task of the shuffle for the others meets a large key.
+    """
+    is_heavy = F.col(weight) > max(100, total // 10_000)
+    heavy, light = table.filter(is_heavy), table.filter(~is_heavy)
+    marks = F.broadcast(heavy.select(F.col(key).alias("heavy_key")))
+    rest = rows.join(marks, F.col(key) == F.col("heavy_key"), "left_anti")
+    return rest.join(light, key).unionByName(rows.join(F.broadcast(heavy), key))
+
+
 def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
     """``work`` for ``mapInArrow``, after which the worker gives unused memory back to the system.
 

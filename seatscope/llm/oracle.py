@@ -207,3 +207,17 @@ best AS (SELECT lang, phrase, a, l, r, score FROM scored
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
 SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
 """
+
+
+ORACLE_SQL["op12_jaccard"] = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACE}+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT r, w[i:i + 2] AS shingle FROM (
+    SELECT r, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+links AS (SELECT a.r AS u, b.r AS v FROM s a JOIN s b USING (shingle) JOIN n na ON na.r = a.r JOIN n nb ON nb.r = b.r
+  GROUP BY a.r, b.r, na.n, nb.n HAVING 100 * count(*) >= 90 * (na.n + nb.n - count(*))),
+reach AS (SELECT r AS u, r AS v FROM d UNION SELECT reach.u, links.v FROM reach JOIN links ON reach.v = links.u)
+SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other.doc_id) AS component_id
+FROM d LEFT JOIN n USING (r) JOIN reach ON reach.u = d.r JOIN d AS other ON other.r = reach.v GROUP BY d.r, d.doc_id
+"""

@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seatscope.llm.bitmaps import bitmap_of, bits_of, is_in
 from seatscope.llm.frames import discard, staged, tidy
 from seatscope.llm.words import LOWER, Words, blocks, find_words, mix, word_hashes
 from seatscope.session import shared_folder
@@ -181,25 +182,13 @@ def phrase_keys(numbers: np.ndarray, group: np.ndarray) -> list[tuple[np.ndarray
     return found
 
 
-def _bits_of(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64((1 << bits) - 1)
-    return (keys & mask).astype(np.int64), (keys >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _is_in(bitmap: np.ndarray, places: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    held = np.ones(len(places[0]), bool)
-    for place in places:
-        held &= (bitmap[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-    return held
-
-
 def _reached(keys: np.ndarray, whole: np.ndarray, bitmaps: dict[int, np.ndarray], bits: int) -> np.ndarray:
     """The first tick whose bit map has the key of each place."""
     tick = np.full(len(keys), _NEVER, np.int16)
     at = np.flatnonzero(whole)
-    places = _bits_of(keys[at], bits)
+    places = bits_of(keys[at], bits)
     for number in sorted(bitmaps, reverse=True):
-        tick[at[_is_in(bitmaps[number], places)]] = number
+        tick[at[is_in(bitmaps[number], places)]] = number
     return tick
 
 
@@ -232,17 +221,6 @@ def _counter(tick: int, params: PhraseParams, filters):
     return count
 
 
-def _bitmap(reached: DataFrame, bits: int) -> np.ndarray:
-    """The bit map of the keys; at most ``2 ** bits / 64`` rows come to the driver."""
-    low = F.col("key").bitwiseAND((1 << bits) - 1)
-    high = F.expr(f"shiftrightunsigned(key, {64 - bits})")
-    marked = reached.select(F.explode(F.array(low, high)).alias("bit")).groupBy(F.expr("shiftright(bit, 6)").alias("at"))
-    rows = marked.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("word")).toArrow()
-    bitmap = np.zeros(max(1, (1 << bits) // 64), np.uint64)
-    bitmap[rows["at"].to_numpy()] = rows["word"].to_numpy().view(np.uint64)
-    return bitmap
-
-
 def count_phrases(spark: SparkSession, words: DataFrame, params: PhraseParams) -> DataFrame:
     """``size``, ``key``, ``n`` of all phrases of one to three words that reach the threshold."""
     maps: dict[int, dict[int, np.ndarray]] = {1: {}, 2: {}}
@@ -264,7 +242,7 @@ def count_phrases(spark: SparkSession, words: DataFrame, params: PhraseParams) -
         discard(spark, old)
         filters.destroy()
         for size in (1, 2):
-            bitmap = _bitmap(state.filter((F.col("size") == size) & (F.col("reached") == tick)), params.filter_bits)
+            bitmap = bitmap_of(state.filter((F.col("size") == size) & (F.col("reached") == tick)), params.filter_bits)
             if bitmap.any():
                 maps[size][tick] = bitmap
                 last = tick
@@ -285,7 +263,7 @@ def _definitions(filters, bits: int):
             for size in (2, 3):
                 key, whole = keys[size - 1]
                 at = np.flatnonzero(whole)
-                at = at[_is_in(maps[size], _bits_of(key[at], bits))]
+                at = at[is_in(maps[size], bits_of(key[at], bits))]
                 found, first = np.unique(key[at], return_index=True)
                 new = ~np.isin(found, known, assume_unique=True)
                 at, found = at[first[new]], found[new]
@@ -317,7 +295,7 @@ def candidates(spark: SparkSession, words: DataFrame, counts: DataFrame, params:
     defined, missing = [], wanted
     # Frequent phrases are met in a few slots already; the other slots are searched for the rest only.
     for first, upto in _SLOT_ROUNDS:
-        maps = {size: _bitmap(missing.filter(F.col("size") == size), params.filter_bits) for size in (2, 3)}
+        maps = {size: bitmap_of(missing.filter(F.col("size") == size), params.filter_bits) for size in (2, 3)}
         filters = spark.sparkContext.broadcast(maps)
         slots = words.filter((F.col("shard") >= 0) & F.col("slot").between(first, upto)).select("group", "words")
         found = slots.mapInArrow(tidy(_definitions(filters, params.filter_bits)), ", ".join(f"{k} long" for k in _KEYS))

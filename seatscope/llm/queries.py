@@ -10,6 +10,7 @@ from seatscope.llm.audit import audit_filters
 from seatscope.llm.chat import format_turns, read_back
 from seatscope.llm.decontaminate import find_contamination
 from seatscope.llm.frames import remainder
+from seatscope.llm.jaccard import jaccard_join
 from seatscope.llm.language import fit_language, predict_language
 from seatscope.llm.packing import pack_documents
 from seatscope.llm.phrases import mine_phrases
@@ -111,6 +112,10 @@ def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(spark, docs, table(spark, sf_dir, "labels"))
 
 
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(spark, table(spark, sf_dir, "documents"))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_phrases(spark, table(spark, sf_dir, "documents").select("text", "lang"))
 
@@ -127,5 +132,6 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
     "op11_audit": op11_audit,
+    "op12_jaccard": op12_jaccard,
     "op13_phrases": op13_phrases,
 }
