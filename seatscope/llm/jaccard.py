@@ -14,7 +14,7 @@ finds all sets that differ there in one shingle. The cheapest are taken, by thei
 
 Under a key of few sets all pairs are compared, exactly, set against set. Sets of keys with more than
 ``small_bucket`` are first brought together by bands of least hashes: all that share a band are compared with
-one of them, in a few rounds. This only saves work: what is then in one component needs no more pairs, and
+one of them. This only saves work: what is then in one component needs no more pairs, and
 only what is not goes on under its crowded keys, without a miss: shingles that no other component there has count as differences, so that a pair with too many of
 them is ruled out, and one of the two has few; sets with few are joined with the others of the key.
 
@@ -44,14 +44,14 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _PAIRS_AT_ONCE = 64  # pairs of one set that are compared in one task
 _SHORT = 2  # segments of so many shingles are listed without one of them, too
 _SEEN_AT_ONCE = 1 << 18
-_BAND_COUNT, _BAND_HASHES, _STAR_ROUNDS = 5, 4, 3
+_BAND_COUNT, _BAND_HASHES = 8, 4
 
 
 @dataclass(frozen=True)
 class JaccardParams:
     words: int = 3
     small_bucket: int = 32
-    filter_bits: int = 26
+    filter_bits: int = 25
 
 
 # Set sizes at which bands begin: each half as large again as the one before.
@@ -295,25 +295,21 @@ def _pairs_of_small(found: DataFrame, params: JaccardParams) -> DataFrame:
     return both.filter(_could_be_linked(F.col("n"), F.col("m"))).select(*_ordered("hi", "other"))
 
 
-def _bands(first: int):
-    """``hi`` and ``band`` for each of ``_BAND_COUNT`` bands of least hashes of a set."""
-
-    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                lists = part.column(1)
-                begins = lists.offsets.to_numpy()
-                values = lists.flatten().to_numpy().view(np.uint64)
-                begins = (begins - begins[0])[:-1]
-                for number in range(first, first + _BAND_COUNT):
-                    band = np.full(len(begins), number + 1, np.uint64)
-                    for place in range(_BAND_HASHES):
-                        seed = mix(np.array([number * _BAND_HASHES + place + 1], np.uint64) * _ODD)
-                        band = mix(band * _ODD + np.minimum.reduceat(mix(values ^ seed), begins))
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(band.view(np.int64))], names=["hi", "band"])
-
-    return banded
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``hi`` and ``band`` for each band of least hashes of a set."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            lists = part.column(1)
+            begins = lists.offsets.to_numpy()
+            values = lists.flatten().to_numpy().view(np.uint64)
+            begins = (begins - begins[0])[:-1]
+            for number in range(_BAND_COUNT):
+                band = np.full(len(begins), number + 1, np.uint64)
+                for place in range(_BAND_HASHES):
+                    seed = mix(np.array([number * _BAND_HASHES + place + 1], np.uint64) * _ODD)
+                    band = mix(band * _ODD + np.minimum.reduceat(mix(values ^ seed), begins))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(band.view(np.int64))], names=["hi", "band"])
 
 
 def _named_roots(sets: DataFrame, roots: DataFrame) -> DataFrame:
@@ -322,21 +318,12 @@ def _named_roots(sets: DataFrame, roots: DataFrame) -> DataFrame:
     return named.select("hi", F.xxhash64(F.coalesce("root", "class")).alias("root"))
 
 
-def _stars(spark: SparkSession, crowded: DataFrame, roots: DataFrame, first: int) -> DataFrame:
-    """Pairs of sets of different components with one of those they share a band with."""
-    bands = crowded.select("hi", "shingles").mapInArrow(tidy(_bands(first)), "hi long, band long")
-    bands = staged(spark, bands.join(_named_roots(crowded, roots), "hi"))
-    hubs = bands.groupBy("band").agg(
-        F.min("hi").alias("hub"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows")
-    )
-    hubs = staged(spark, hubs.filter("low < high").select("band", "hub", "rows"))
-    near = looked_up(bands, hubs, "band", bands.count(), "rows").filter("hi <> hub")
-    of_hub = hubs.select("hub").distinct().join(_named_roots(crowded, roots), F.col("hub") == F.col("hi"))
-    of_hub = of_hub.select("hub", F.col("root").alias("hub_root"))
-    weights = near.groupBy("hub").agg(F.count("*").alias("edges"))
-    of_hub = staged(spark, of_hub.join(weights, "hub"))
-    apart = looked_up(near.drop("rows"), of_hub, "hub", bands.count(), "edges").filter("root <> hub_root")
-    return staged(spark, apart.select(*_ordered("hi", "hub")).distinct())
+def _stars(spark: SparkSession, crowded: DataFrame) -> DataFrame:
+    """Pairs of each set with one of those it shares a band with."""
+    bands = staged(spark, crowded.select("hi", "shingles").mapInArrow(tidy(_banded), "hi long, band long"))
+    hubs = bands.groupBy("band").agg(F.min("hi").alias("hub"), F.count("*").alias("rows"))
+    near = looked_up(bands, staged(spark, hubs.filter("rows > 1")), "band", bands.count(), "rows")
+    return near.filter("hi <> hub").select(*_ordered("hi", "hub"))
 
 
 def _rest(spark: SparkSession, crowd: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
@@ -373,15 +360,9 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, params: JaccardParams | N
     crowded_ids = staged(spark, crowd.select("hi").distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("hi")).unionAll(crowded_ids).distinct()
     sets = _sets(spark, docs, listed, staged(spark, wanted), params.words)
-    links = _linked(spark, sets, pairs)
+    stars = _stars(spark, sets.join(crowded_ids, "hi", "left_semi"))
+    links = _linked(spark, sets, staged(spark, pairs.unionAll(stars).distinct()))
     roots = component_roots(spark, links)
-    crowded = sets.join(crowded_ids, "hi", "left_semi")
-    for round_ in range(_STAR_ROUNDS):
-        stars = _stars(spark, crowded, roots, round_ * _BAND_COUNT)
-        if stars.isEmpty():
-            break
-        links = links.unionAll(_linked(spark, sets, stars))
-        roots = component_roots(spark, links)
     rest = staged(spark, _rest(spark, crowd, sets, roots).distinct())
     if not rest.isEmpty():
         links = links.unionAll(_linked(spark, sets, rest))
