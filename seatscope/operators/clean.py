@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,32 +33,60 @@ def is_listed(folded_user: Column, exclusions: Exclusions) -> Column:
     return listed
 
 
+_PART = 3  # characters of the parts that "contains" is looked up by
+
+
+def _parts(text: Column, length: int | Column) -> Column:
+    """The distinct substrings of one length."""
+    places = F.sequence(F.lit(1), F.char_length(text) - length + 1)
+    parts = F.transform(places, lambda place: F.substring(text, place, length))
+    return F.when(F.char_length(text) >= length, F.array_distinct(parts)).otherwise(F.array().cast("array<string>"))
+
+
+def _containing(users: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The ``user`` rows whose ``folded`` text contains a ``token``.
+
+    An inverted index: users are listed under their parts of ``_PART`` characters, and of one and two if a
+    token is as short. Each token is looked up under one part only, that of the fewest users, and what it
+    meets is verified. The rows are those of the texts' characters, however many lengths tokens have.
+    """
+    short = tokens.filter(F.char_length("token") < _PART).agg(F.collect_set(F.char_length("token"))).scalar()
+    by_length = [
+        F.when(F.array_contains("short_lengths", n), _parts(F.col("folded"), n)).otherwise(F.array().cast("array<string>"))
+        for n in range(1, _PART)
+    ]
+    index = users.withColumn("short_lengths", F.coalesce(short, F.array().cast("array<int>"))).select(
+        "user", "folded", F.explode(F.concat(_parts(F.col("folded"), _PART), *by_length)).alias("part")
+    )
+    whole = F.char_length("token") < _PART
+    offered = tokens.select(
+        "token", F.explode(F.when(whole, F.array("token")).otherwise(_parts(F.col("token"), _PART))).alias("part")
+    )
+    held = index.join(offered.select("part").distinct(), "part", "left_semi").groupBy("part").agg(F.count("*").alias("users"))
+    # A part that no user has rules the token out.
+    rarest = offered.join(held, "part", "left").groupBy("token").agg(
+        F.min(F.struct(F.coalesce("users", F.lit(0)).alias("users"), "part")).alias("least")
+    )
+    keyed = rarest.filter("least.users > 0").select("token", F.col("least.part").alias("token_part"))
+    met = index.join(keyed, F.col("part") == F.col("token_part")).filter(F.col("folded").contains(F.col("token")))
+    any_user = F.coalesce(tokens.agg(F.max(F.col("token") == "")).scalar(), F.lit(False))
+    anyone = users.filter(any_user & F.col("user").isNotNull())  # an empty token is in every text
+    return met.select("user").unionByName(anyone.select("user"))
+
+
 def excluded_users(table: DataFrame, exclusion_table: DataFrame) -> DataFrame:
     """Distinct users of a table that a ``(kind, value)`` exclusion table rules out.
 
-    Both tests run once per distinct user and as equi-joins. "Contains" compares the parts of the
-    user text, of the lengths that occur among the tokens, with the tokens.
+    Both tests run once per distinct user and as equi-joins.
     """
     users = table.select("user").distinct().withColumn("folded", fold(F.col("user")))
     values = exclusion_table.select("kind", fold(F.col("value")).alias("folded_value")).distinct()
     exact = users.join(
         values.filter(F.col("kind") == "exact"), F.col("folded") == F.col("folded_value"), "left_semi"
     )
-    tokens = values.filter(F.col("kind") == "contains").select("folded_value")
-    lengths = tokens.agg(F.collect_set(F.char_length("folded_value"))).scalar()
-    # Lengths first, then places: no array is longer than the user text or the list of lengths.
-    sized = (
-        users.withColumn("lengths", lengths)
-        .select("user", "folded", F.explode("lengths").alias("n"))
-        .filter(F.col("n") <= F.char_length("folded"))
-    )
-    places = F.sequence(F.lit(1), F.char_length("folded") - F.col("n") + 1)
-    containing = (
-        sized.select("user", "folded", "n", F.explode(places).alias("place"))
-        .select("user", F.substring("folded", F.col("place"), F.col("n")).alias("part"))
-        .join(tokens, F.col("part") == F.col("folded_value"), "left_semi")
-    )
-    return exact.select("user").unionByName(containing.select("user")).distinct()
+    tokens = values.filter((F.col("kind") == "contains") & F.col("folded_value").isNotNull())
+    containing = _containing(users, tokens.select(F.col("folded_value").alias("token")))
+    return exact.select("user").unionByName(containing).distinct()
 
 
 def _with_exclusion_mark(table: DataFrame, exclusions: Exclusions) -> tuple[DataFrame, Column]:
@@ -181,16 +211,59 @@ def cleaning_report(raw: DataFrame, params: Params) -> DataFrame:
     return _report(_login_rows(raw, params), F.col(ROW_STATE), F.lit(1))
 
 
-def login_day_states(raw: DataFrame, params: Params) -> DataFrame:
-    """``(row_state, user, activity_date, event_count)``: one pass that serves two results.
+def _without_table(params: Params) -> Params:
+    return replace(params, exclusions=replace(params.exclusions, table=None))
+
+
+def _stated(rows: DataFrame) -> DataFrame:
+    helpers = [name for name in rows.columns if name.startswith(RESERVED) and name != ROW_STATE]
+    return rows.drop(*helpers)
 
-    Dropped rows are counted per state only. Once written, the table yields both the per-day
-    activity and the cleaning report without reading the raw audit again.
+
+def login_rows(raw: DataFrame, params: Params) -> DataFrame:
+    """Every login row with its state, the exclusion table left aside: the one pass over a raw audit.
+
+    Once written, the table yields the cleaned rows, the per-day activity and the cleaning report.
+    """
+    return _stated(_login_rows(raw, _without_table(params)))
+
+
+def denial_rows(raw: DataFrame, params: Params) -> DataFrame:
+    """As ``login_rows`` for the rows of a denial audit that carry the label."""
+    return _stated(_denial_rows(raw, _without_table(params)))
+
+
+def after_exclusions(rows: DataFrame, params: Params) -> DataFrame:
+    """Rows with states, those of users on the exclusion table now excluded; kept or invalid before."""
+    if params.exclusions.table is None:
+        return rows
+    known = rows.filter(F.col(ROW_STATE).isin("kept", "invalid"))
+    ruled_out = excluded_users(known, params.exclusions.table).select(F.col("user").alias(EXCLUDED_USER))
+    joined = rows.join(ruled_out, F.col("user") == F.col(EXCLUDED_USER), "left")
+    now = F.col(EXCLUDED_USER).isNotNull() & F.col(ROW_STATE).isin("kept", "invalid")
+    state = F.when(now, "excluded").otherwise(F.col(ROW_STATE))
+    return joined.withColumn(ROW_STATE, state).drop(EXCLUDED_USER)
+
+
+def kept_logins(rows: DataFrame) -> DataFrame:
+    """``clean_login`` from rows with states."""
+    return _kept_rows(rows, "login_date")
+
+
+def kept_denials(rows: DataFrame) -> DataFrame:
+    """``clean_denials`` from rows with states."""
+    return _kept_rows(rows, "denial_date")
+
+
+def login_day_states(rows: DataFrame) -> DataFrame:
+    """``(row_state, user, activity_date, event_count)`` of rows with states.
+
+    Dropped rows are counted per state only. The table yields both the per-day activity and the
+    cleaning report.
     """
     is_kept = F.col(ROW_STATE) == "kept"
     return (
-        _login_rows(raw, params)
-        .groupBy(
+        rows.groupBy(
             F.col(ROW_STATE).alias("row_state"),
             F.when(is_kept, F.col("user")).alias("user"),
             F.when(is_kept, F.col("event_timestamp").cast("date")).alias("activity_date"),
@@ -211,6 +284,11 @@ def report_of_states(states: DataFrame) -> DataFrame:
 
 def clean_denials(raw: DataFrame, params: Params) -> DataFrame:
     """Denial rows: label, then user, then exclusions, then time, whatever the input's columns."""
+    return _kept_rows(_denial_rows(raw, params), "denial_date")
+
+
+def _denial_rows(raw: DataFrame, params: Params) -> DataFrame:
+    """Every raw denial row with the label, with its state."""
     required = [
         params.denial_user_column,
         params.denial_timestamp_column,
@@ -229,7 +307,7 @@ def clean_denials(raw: DataFrame, params: Params) -> DataFrame:
         .filter(F.col("event_label") == params.denial_label)
         .withColumn("user", _stripped_user(lowercase=False))
     )
-    return _kept_rows(_with_state(rows, params), "denial_date")
+    return _with_state(rows, params)
 
 
 def in_time_order_within_months(cleaned: DataFrame) -> DataFrame:

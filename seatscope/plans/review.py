@@ -147,13 +147,17 @@ def build_tables(
 ) -> dict[str, DataFrame]:
     """All result tables by name, unordered.
 
-    ``stage`` is called on every intermediate that several tables share. The raw audits are read
-    once for the per-day tables, which everything else builds on, and once for the tables of
-    cleaned rows.
+    ``stage`` is called on every intermediate that several tables share. Each raw audit is read
+    once, also with an exclusion table: its rows are staged with their states, and the cleaned rows,
+    the per-day tables, which everything else builds on, and the excluded users come from there.
     """
-    cleaned_login = clean.clean_login(inputs.login, params)
-    cleaned_denials = clean.clean_denials(inputs.denials, params)
-    states = stage("login_day_states", clean.login_day_states(inputs.login, params))
+    login_rows = stage("login_rows", clean.login_rows(inputs.login, params))
+    login_rows = clean.after_exclusions(login_rows, params)
+    denial_rows = stage("denial_rows", clean.denial_rows(inputs.denials, params))
+    denial_rows = clean.after_exclusions(denial_rows, params)
+    cleaned_login = clean.kept_logins(login_rows)
+    cleaned_denials = clean.kept_denials(denial_rows)
+    states = stage("login_day_states", clean.login_day_states(login_rows))
     daily = clean.kept_days(states)
     denial_daily = stage("denial_daily", activity.daily_activity(cleaned_denials, "denial_date"))
     report = clean.report_of_states(states)
@@ -223,22 +227,32 @@ def build_tables(
 def write_review(
     spark: SparkSession, inputs: Inputs, params: Params, output_format: str = "parquet"
 ) -> list[str]:
-    """Build every table and write each one once, in report order."""
+    """Build every table and write each one once, in report order; publish the run when all are there.
+
+    Tables lie in a folder of the run, see ``writers.Publication``. A run that fails leaves what was
+    published before as it was.
+    """
     configure(spark)
     staged = StagedTables(spark)
+    publication = writers.Publication(spark, params.output_path)
     try:
         tables = build_tables(spark, inputs, params, staged)
         for name in ("user_summary", "regular_users", "occasional_users", "rare_users"):
             tables[name] = with_highlight(tables[name])
         rows = {name: tables.pop(name) for name in SOURCE_ROWS}
         ordered = {name: in_report_order(name, table) for name, table in tables.items()}
-        folders = writers.write_tables(ordered, params.output_path, output_format)
-        return folders + writers.write_tables(
+        folders = writers.write_tables(ordered, publication.folder, output_format)
+        folders += writers.write_tables(
             {name: clean.in_time_order_within_months(table) for name, table in rows.items()},
-            params.output_path,
+            publication.folder,
             output_format,
             partition_by="year_month",
         )
+        publication.publish()
+        return folders
+    except BaseException:
+        publication.withdraw()
+        raise
     finally:
         staged.remove()
 

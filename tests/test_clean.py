@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from dataclasses import replace
 from datetime import date, datetime
 
@@ -54,7 +56,7 @@ def test_drops_and_counts_each_row_once(spark):
         "dropped_excluded_user_rows": 2,
     }
     assert dicts(clean.cleaning_report(raw, params)) == [expected]
-    states = clean.login_day_states(raw, params)
+    states = clean.login_day_states(clean.after_exclusions(clean.login_rows(raw, params), params))
     assert dicts(clean.report_of_states(states)) == [expected]
     assert dicts(clean.kept_days(states)) == [
         {
@@ -212,3 +214,25 @@ def test_each_time_is_parsed_once_per_row(spark, tmp_path):
     parsing = [line for line in plan.splitlines() if "RLIKE" in line]
     assert len(parsing) == 1 and "Generate inline" in parsing[0]
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_contains_by_rarest_part_equals_a_plain_search(spark):
+    rng = random.Random(4)
+    names = ["".join(rng.choice("abcdéß 東") for _ in range(rng.randrange(0, 14))) for _ in range(300)]
+    tokens = [name[i : i + n] for name in names[::9] for n in (1, 2, 3, 4, 7) for i in (0, 2)]
+    tokens = sorted({t for t in tokens if t} - set("abcdé 東")) + ["zz", "longer than any of the texts"]
+    users = spark.createDataFrame([(n,) for n in names] + [(None,)], "user string")
+    for some in (tokens, tokens[::7], ["ab"], ["é"], [""], []):
+        table = spark.createDataFrame([("contains", t) for t in some], "kind string, value string")
+        got = {row["user"] for row in clean.excluded_users(users, table).collect()}
+        assert got == {n for n in names if any(t.casefold() in n.casefold() for t in some)}
+
+
+def test_contains_keeps_rows_linear_in_the_text(spark):
+    """However many lengths the tokens have, a text is listed under its characters only."""
+    users = spark.createDataFrame([("x" * 40 + f"{i:09d}" + "y" * 40,) for i in range(50)], "user string")
+    table = spark.createDataFrame([("contains", "x" * n + "000000007") for n in range(3, 41)], "kind string, value string")
+    result = clean.excluded_users(users, table)
+    assert result.count() == 1
+    plan = result._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in plan and "CartesianProduct" not in plan

@@ -6,11 +6,13 @@ from pathlib import Path
 import pandas as pd
 import pytest
 from helpers import audit, denial_audit, dicts
+from pyspark.sql import functions as F
 
 from seatscope.params import Exclusions, Params, Source
 from seatscope.plans import review
 from seatscope.plans.rules_text import category_rules, rules_and_assumptions
 from seatscope.session import StagedTables, shared_folder
+from seatscope.sources.writers import current_run, read_result
 
 CANDIDATE = "Ada Lovelace (Ada Lovelace: Acme)"
 
@@ -41,7 +43,7 @@ def params(spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def written(spark, params):
     review.run_review(spark, params)
-    return lambda name: spark.read.parquet(f"{params.output_path}/{name}")
+    return lambda name: read_result(spark, params.output_path, name)
 
 
 def test_every_section_table_is_written(spark, params, written):
@@ -119,9 +121,48 @@ def test_a_run_removes_what_it_staged(spark, params, written):
     assert set(folder.glob("seatscope-*")) == before
 
 
-def test_source_rows_are_written_by_month_in_order(params, written):
-    months = sorted(path.name for path in Path(params.output_path, "raw_login").glob("year_month=*"))
+def test_source_rows_are_written_by_month_in_order(spark, params, written):
+    folder = Path(current_run(spark, params.output_path), "raw_login")
+    months = sorted(path.name for path in folder.glob("year_month=*"))
     assert months == ["year_month=2026-01", "year_month=2026-02"]
-    (part,) = Path(params.output_path, "raw_login", months[0]).glob("*.parquet")
+    (part,) = Path(folder, months[0]).glob("*.parquet")
     stamps = pd.read_parquet(part)["event_timestamp"].tolist()
     assert len(stamps) == 9 and stamps == sorted(stamps)
+
+
+def test_a_run_stopped_midway_leaves_the_published_review(spark, params, written, monkeypatch):
+    folder = Path(params.output_path)
+    run, files = current_run(spark, params.output_path), sorted(map(str, folder.rglob("*")))
+
+    def fail(*_):
+        return spark.range(5).select(F.raise_error(F.lit("no such table")).alias("metric"))
+
+    monkeypatch.setattr(review.metrics, "adu_executive_summary", fail)
+    with pytest.raises(Exception, match="no such table"):
+        review.run_review(spark, params)
+    assert current_run(spark, params.output_path) == run
+    assert sorted(map(str, folder.rglob("*"))) == files
+    assert written("user_summary").count() == 2
+    with pytest.raises(FileNotFoundError):
+        current_run(spark, f"{params.output_path}-none")
+
+
+@pytest.mark.parametrize("listed", [None, [("contains", "ANDY"), ("exact", "nobody")]])
+def test_a_run_reads_each_raw_audit_once(spark, params, listed):
+    """Every table of a staged run is built without the raw files, but for the one staged pass over each."""
+    table = listed and spark.createDataFrame(listed, "kind string, value string")
+    given = replace(params, exclusions=Exclusions(table=table))
+    staged, reading = StagedTables(spark), []
+
+    def stage(name, rows):
+        reading.extend(name for path in rows.inputFiles() if "/login/" in path or "/denials/" in path)
+        return staged(name, rows)
+
+    tables = review.build_tables(spark, review.read_inputs(spark, given), given, stage)
+    assert sorted(set(reading)) == ["denial_rows", "login_rows"]
+    for name, result in tables.items():
+        assert not [path for path in result.inputFiles() if "/login/" in path or "/denials/" in path], name
+    report = tables["cleaning_report"].first()
+    assert report["dropped_excluded_user_rows"] == (1 if listed else 0) and report["input_rows"] == 12
+    assert tables["raw_login"].count() == report["output_rows"] == (9 if listed else 10)
+    staged.remove()
