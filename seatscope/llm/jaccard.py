@@ -14,9 +14,10 @@ finds all sets that differ there in one shingle. The cheapest are taken, by thei
 
 Under a key of few sets all pairs are compared, exactly, set against set. Sets of keys with more than
 ``small_bucket`` are first brought together by bands of least hashes: all that share a band are compared with
-one of them. This only saves work: what is then in one component needs no more pairs, and
-only what is not goes on under its crowded keys, without a miss: shingles that no other component there has count as differences, so that a pair with too many of
-them is ruled out, and one of the two has few; sets with few are joined with the others of the key.
+one of them. This only saves work: what is then in one component needs no more pairs, and only what is not
+goes on under its crowded keys, without a miss. Shingles that no other of these sets has count as
+differences, so of a linked pair one set has few of them, and only those with few are joined with the
+others of the key. Parity bits of both sets rule out, before sets are fetched, pairs that differ too much.
 
 Equal sets are one class from the start. Keys that no two classes share are dropped by a bit map of fixed
 size before anything is joined. Defined results: a null, empty or white text has an empty set and is linked
@@ -45,6 +46,7 @@ _PAIRS_AT_ONCE = 64  # pairs of one set that are compared in one task
 _SHORT = 2  # segments of so many shingles are listed without one of them, too
 _SEEN_AT_ONCE = 1 << 18
 _BAND_COUNT, _BAND_HASHES = 8, 4
+_MARKS = 8  # words of 64 parity bits
 
 
 @dataclass(frozen=True)
@@ -332,21 +334,38 @@ def _rest(spark: SparkSession, crowd: DataFrame, sets: DataFrame, roots: DataFra
     split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows"))
     split = staged(spark, split.filter("low < high").select("key", "rows"))
     placed = staged(spark, looked_up(placed, split, "key", crowd.count(), "rows").drop("rows"))
-    owners = placed.select("hi", "root").distinct()
-    shingles = sets.join(owners, "hi").select("hi", "root", F.explode("shingles").alias("shingle"))
-    shingles = staged(spark, shingles)
-    own = shingles.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows"))
-    own = staged(spark, own.filter("low = high").select("shingle", "rows"))
-    alone = looked_up(shingles, own, "shingle", shingles.count(), "rows").groupBy("hi").agg(F.count("*").alias("alone"))
-    placed = placed.join(alone, "hi", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    own = sets.join(placed.select("hi").distinct(), "hi", "left_semi")
+    shingles = own.select("hi", F.explode("shingles").alias("shingle"))
+    once = shingles.groupBy("shingle").agg(F.count("*").alias("times"), F.min("hi").alias("hi")).filter("times = 1")
+    alone = once.groupBy("hi").agg(F.count("*").alias("alone"))
+    names = [f"mark_{i}" for i in range(_MARKS)]
+    marks = own.select("hi", "shingles").mapInArrow(tidy(_marked), ", ".join(["hi long", *(f"{m} long" for m in names)]))
+    placed = placed.join(marks, "hi").join(alone, "hi", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
     placed = staged(spark, placed)
-    other = placed.select("key", *(F.col(name).alias(f"{name}_2") for name in ("hi", "n", "root", "alone", "looks", "below")))
+    carried = ("hi", "n", "root", "alone", "looks", "below", *names)
+    other = placed.select("key", *(F.col(name).alias(f"{name}_2") for name in carried))
     # Of two linked sets one has its alone shingles in at most an eighteenth of its size.
     few = placed.filter(18 * F.col("alone") <= F.col("n"))
     both = few.join(other, "key").filter("root <> root_2 AND (looks OR looks_2) AND NOT (below AND below_2)")
     both = both.filter(_could_be_linked(F.col("n"), F.col("n_2")))
     both = both.filter(19 * (F.col("alone") + F.col("alone_2")) <= F.col("n") + F.col("n_2"))
-    return both.select(*_ordered("hi", "hi_2"))
+    differ = sum(F.bit_count(F.col(m).bitwiseXOR(F.col(f"{m}_2"))) for m in names)
+    return both.filter(19 * differ <= F.col("n") + F.col("n_2")).select(*_ordered("hi", "hi_2"))
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``hi`` and the parity bits of a set: each bit in which two sets differ is a shingle in which they do."""
+    for batch in batches:
+        lists = batch.column(1)
+        values = lists.flatten().to_numpy().view(np.uint64)
+        row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+        bits = np.zeros((batch.num_rows, _MARKS), np.uint64)
+        place = mix(values ^ _ODD)
+        word = (place >> np.uint64(6)).astype(np.int64) % _MARKS
+        np.bitwise_xor.at(bits, (row, word), np.uint64(1) << (place & np.uint64(63)))
+        columns = [pa.array(np.ascontiguousarray(column).view(np.int64)) for column in bits.T]
+        names = ["hi", *(f"mark_{i}" for i in range(_MARKS))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, params: JaccardParams | None = None) -> DataFrame:
