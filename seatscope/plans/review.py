@@ -220,7 +220,7 @@ def build_tables(
         "adu_user_label_key": denials.adu_user_label_key(ranked),
         "category_rules": rules_text.category_rules(spark, params),
         "rules_and_assumptions": rules_text.rules_and_assumptions(spark, params),
-        "threshold_explanation": rules_text.threshold_explanation(spark),
+        "threshold_explanation": rules_text.threshold_explanation(spark, params),
     }
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seatscope.params import Exclusions, Params, Source
 from seatscope.plans import review
-from seatscope.plans.rules_text import category_rules, rules_and_assumptions
+from seatscope.plans.rules_text import category_rules, rules_and_assumptions, threshold_explanation
 from seatscope.session import StagedTables, shared_folder
 from seatscope.sources.writers import current_run, read_result
 
@@ -104,6 +104,11 @@ def test_rules_carry_the_parameters(spark):
     assert "at least 2 denied days or at least 3 denied attempts" in text[4]["rule_or_assumption"]
 
 
+def test_threshold_text_carries_the_parameter(spark):
+    text = dicts(threshold_explanation(spark, Params(dedicated_denied_days=7)))
+    assert len(text) == 2 and all(" 7 " in row["details"] for row in text)
+
+
 def test_staged_tables_use_the_shared_folder(spark):
     named = spark.conf.get("spark.checkpoint.dir")
     assert shared_folder(spark) == named
