@@ -22,6 +22,7 @@ from seatscope.operators.reshape import match_list, metric_table
 from seatscope.params import Params
 
 _KEY = "_name_key"
+_PARTS, _PART = "_name_parts", "_name_part"
 DENIAL_COUNTS = (
     "adu_denied_attempts", "adu_denied_days", "adu_denied_months",
     "adu_denied_attempts_last_90_days", "adu_denied_days_last_90_days",
@@ -47,7 +48,7 @@ def _technician_side(technicians: DataFrame) -> DataFrame:
 
 def _denial_side(denial_summary: DataFrame) -> DataFrame:
     return with_name_key(denial_summary).select(
-        _KEY, *DENIAL_COUNTS, "last_adu_denial", "is_repeated_adu_denial_user"
+        _KEY, "user", *DENIAL_COUNTS, "last_adu_denial", "is_repeated_adu_denial_user"
     )
 
 
@@ -78,11 +79,45 @@ def flag_technicians(users: DataFrame, technicians: DataFrame) -> DataFrame:
     )
 
 
+def heavy_names(denial_side: DataFrame, params: Params) -> DataFrame:
+    """Names that more than ``name_part_rows`` denied users share, and into how many parts to deal them."""
+    rows = F.count("*")
+    counts = denial_side.filter(F.col(_KEY).isNotNull()).groupBy(_KEY).agg(rows.alias("_rows"))
+    parts = F.ceil(F.col("_rows") / params.name_part_rows)
+    return counts.filter(F.col("_rows") > params.name_part_rows).select(_KEY, parts.alias(_PARTS))
+
+
+def dealt_by_part(
+    users: DataFrame, denial_side: DataFrame, params: Params
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the denial join, with the part of the name that each row belongs to.
+
+    A denied user of a heavy name is in one part, chosen by the user; a user of that name is in all
+    of them. All other names have the one part 0. So no task has to hold all denied users of a name.
+    """
+    heavy = heavy_names(denial_side, params)
+    parts = F.coalesce(F.col(_PARTS), F.lit(1)).cast("long")
+    one = F.pmod(F.xxhash64("user"), parts)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+    return (
+        users.join(heavy, _KEY, "left").withColumn(_PART, every),
+        denial_side.join(heavy, _KEY, "left").withColumn(_PART, one).drop(_PARTS, "user"),
+    )
+
+
+def _with_denials(users: DataFrame, denial_summary: DataFrame, params: Params) -> DataFrame:
+    """Users that have a name key, left joined with the denied users of their name."""
+    left, right = dealt_by_part(users, _denial_side(denial_summary), params)
+    joined = left.join(right, [_KEY, _PART], "left")
+    # A heavy name has denied users, so a row without one is a part that is empty.
+    is_match = F.col(_PARTS).isNull() | F.col("adu_denied_attempts").isNotNull()
+    return joined.filter(is_match)
+
+
 def add_denial_flags(users: DataFrame, denial_summary: DataFrame, params: Params) -> DataFrame:
     """Users with the denials of every denied user of the same name."""
     return (
-        with_name_key(users)
-        .join(_denial_side(denial_summary), _KEY, "left")
+        _with_denials(with_name_key(users), denial_summary, params)
         .withColumns(_denial_flags(params))
         .select(*users.columns, *FLAG_COLUMNS[2:])
     )
@@ -91,15 +126,17 @@ def add_denial_flags(users: DataFrame, denial_summary: DataFrame, params: Params
 def flag_users(
     users: DataFrame, technicians: DataFrame, denial_summary: DataFrame, params: Params
 ) -> DataFrame:
-    """Both flags in two left joins on the one shuffle of the users.
+    """Both flags in two left joins.
 
     Users are the outer side of both, so a very common name can be split among tasks. Technicians
-    are unique by name; denied users of one name are read by each task that has users of it.
+    are unique by name; denied users of a very common name are dealt into parts.
     """
     return (
-        with_name_key(users)
-        .join(_technician_side(technicians), _KEY, "left")
-        .join(_denial_side(denial_summary), _KEY, "left")
+        _with_denials(
+            with_name_key(users).join(_technician_side(technicians), _KEY, "left"),
+            denial_summary,
+            params,
+        )
         .withColumns({**_technician_flag(), **_denial_flags(params)})
         .select(*users.columns, *FLAG_COLUMNS)
     )

@@ -72,6 +72,7 @@ class Params:
     repeated_denied_days: int = 2
     repeated_denied_attempts: int = 3
     dedicated_denied_days: int = 10
+    name_part_rows: int = 1000  # denied users of one name that one task joins with users of that name
 
 
 def build_params(

@@ -73,6 +73,52 @@ def test_shared_names_fan_out_in_joins(spark):
     assert sorted(map(str, dicts(apart))) == sorted(map(str, dicts(flagged)))
 
 
+def test_heavy_names_are_dealt_into_parts(spark):
+    """A third of users and of denied users have one name; the result is that of counting by hand."""
+    params = replace(PLAIN, name_part_rows=5)
+    user_names = [("Kim Lee" if i % 3 == 0 else f"Person {i}", i) for i in range(90)]
+    denied_names = [("KIM  lee" if i % 3 == 0 else f"Person {i}", i) for i in range(60, 150)]
+    users = users_of(spark, *((f"{name} ({i})", 1) for name, i in user_names))
+    denied = denied_of(spark, *((f"{name} (d{i})", 1 + i % 4, 1 + i % 2) for name, i in denied_names))
+    days = {}
+    for name, i in denied_names:
+        days.setdefault(" ".join(name.lower().split()), []).append((1 + i % 4) * (1 + i % 2))
+    expected = sorted(
+        (f"{name} ({i})", attempts) for name, i in user_names for attempts in days.get(name.lower(), [0])
+    )
+    flagged = matching.flag_users(users, technicians(spark, "Kim Lee"), denied, params)
+    assert sorted((r["user"], r["adu_denied_attempts"]) for r in dicts(flagged)) == expected
+    assert all(r["has_adu_denials"] == (r["adu_denied_attempts"] > 0) for r in dicts(flagged))
+    whole = matching.flag_users(users, technicians(spark, "Kim Lee"), denied, PLAIN)
+    assert sorted(map(str, dicts(whole))) == sorted(map(str, dicts(flagged)))
+    apart = matching.add_denial_flags(
+        matching.flag_technicians(users, technicians(spark, "Kim Lee")), denied, params
+    )
+    assert sorted(map(str, dicts(apart))) == sorted(map(str, dicts(flagged)))
+
+
+def test_no_part_of_a_heavy_name_is_much_larger_than_the_others(spark):
+    params = replace(PLAIN, name_part_rows=50)
+    denied = denied_of(spark, *((f"{'Kim Lee' if i % 3 == 0 else f'P {i}'} ({i})", 1, 1) for i in range(3000)))
+    users = matching.with_name_key(users_of(spark, ("Kim Lee (1)", 1), ("Other", 1)))
+    left, right = matching.dealt_by_part(users, matching._denial_side(denied), params)
+    sizes = {tuple(r[:2]): r[2] for r in right.groupBy("_name_key", "_name_part").count().collect()}
+    heavy = [n for (name, _), n in sizes.items() if name == "kim lee"]
+    assert sum(heavy) == 1000 and len(heavy) == 20 and max(heavy) < 2 * 50
+    copies = {r[0]: r[1] for r in left.groupBy("_name_key").count().collect()}
+    assert copies == {"kim lee": 20, "other": 1}
+
+
+def test_empty_parts_of_a_heavy_name_make_no_rows(spark):
+    params = replace(PLAIN, name_part_rows=1)
+    denied = denied_of(spark, *((f"Kim Lee ({i})", 1, 1) for i in range(12)))
+    users = users_of(spark, ("Kim Lee (x)", 1), ("Other", 1))
+    flagged = matching.add_denial_flags(users, denied, params)
+    assert sorted((r["user"], r["adu_denied_attempts"]) for r in dicts(flagged)) == [
+        *[("Kim Lee (x)", 1)] * 12, ("Other", 0),
+    ]
+
+
 def test_recommendations_take_the_first_row_of_each_source(spark):
     users = users_of(spark, ("Kim Lee (1)", 3), ("Kim Lee (2)", 9))
     denied = denied_of(spark, ("kim  lee (a)", 3, 1), ("KIM LEE (b)", 1, 1))
