@@ -276,12 +276,13 @@ def _sets(spark: SparkSession, docs: DataFrame, listed: DataFrame, wanted: DataF
 def _linked(spark: SparkSession, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs ``a``, ``b`` that are similar enough, as classes ``u``, ``v``."""
     # A set of many pairs is copied to several tasks, each with a part of its pairs.
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / _PAIRS_AT_ONCE).alias("parts"))
+    many = pairs.groupBy("a").agg(F.count("*").alias("rows"))
+    many = staged(spark, many.withColumn("parts", F.ceil(F.col("rows") / _PAIRS_AT_ONCE)))
     left = many.join(sets, many["a"] == sets["hi"]).select(
         "a", F.col("class").alias("u"), F.col("shingles").alias("of_a"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
     )
-    dealt = pairs.join(many, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
+    dealt = looked_up(pairs, many, "a", pairs.count(), "rows").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
     right = dealt.join(sets, dealt["b"] == sets["hi"]).select(
         "a", "part", F.col("class").alias("v"), F.col("shingles").alias("of_b")
     )
@@ -384,8 +385,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, params: JaccardParams | N
     roots = component_roots(spark, links)
     rest = staged(spark, _rest(spark, crowd, sets, roots).distinct())
     if not rest.isEmpty():
-        links = links.unionAll(_linked(spark, sets, rest))
-        roots = component_roots(spark, links)
+        roots = component_roots(spark, roots.unionAll(_linked(spark, sets, rest)))
     rows = listed.filter(F.col("key").isNull()).select("doc_id", "class", F.col("n").alias("n_shingles"))
     classes = rows.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     rooted = classes.join(roots, classes["class"] == roots["node"], "left").select(

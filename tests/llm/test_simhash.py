@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
+from seatscope.llm import components as component_module
 from seatscope.llm import golay
 from seatscope.llm.components import component_roots
 from seatscope.llm.simhash import close_pairs, fuzzy_keys, keep_one_of_each, near_duplicates, text_fingerprints
@@ -102,6 +103,18 @@ def test_component_roots(spark):
     assert component_roots(spark, none).count() == 0
 
 
+def test_component_roots_of_stars_need_no_round(spark, monkeypatch):
+    stars = spark.createDataFrame([(5, 1), (1, 7), (9, 2)], "a long, b long")
+    tried = []
+    star = component_module._large_star
+    monkeypatch.setattr(component_module, "_large_star", lambda edges: (tried.append(1), star(edges))[1])
+    roots = component_roots(spark, stars)
+    assert sorted(map(tuple, roots.collect())) == [(5, 1), (7, 1), (9, 2)] and not tried
+    more = roots.unionAll(spark.createDataFrame([(7, 9), (30, 31)], "a long, b long"))
+    assert sorted(map(tuple, component_roots(spark, more).collect())) == [(2, 1), (5, 1), (7, 1), (9, 1), (31, 30)]
+    assert tried
+
+
 def test_near_duplicates_on_edge_rows(spark, documents, edge_rows):
     rows = [*edge_rows, (None, None), (9, "no id here")]
     found = near_duplicates(spark, documents(rows)).collect()
