@@ -103,6 +103,15 @@ def test_component_roots(spark):
     assert component_roots(spark, none).count() == 0
 
 
+def test_component_roots_of_random_links(spark):
+    rng = random.Random(2)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]
+    links += [(1000 + a, 1000 + b) for a, b in combinations(range(25), 2)]
+    nodes = {n for link in links for n in link}
+    got = {r["node"]: r["root"] for r in component_roots(spark, spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {n: r for n, r in components(links, nodes).items() if n != r}
+
+
 def test_component_roots_of_stars_need_no_round(spark, monkeypatch):
     stars = spark.createDataFrame([(5, 1), (1, 7), (9, 2)], "a long, b long")
     tried = []
