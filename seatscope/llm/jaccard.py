@@ -45,6 +45,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _PAIRS_AT_ONCE = 64  # pairs of one set that are compared in one task
 _SHORT = 2  # segments of so many shingles are listed without one of them, too
 _SEEN_AT_ONCE = 1 << 18
+_COUNTED_AT_ONCE = 2048  # sets whose shingles are counted together
 _BAND_COUNT, _BAND_HASHES = 8, 4
 _MARKS = 8  # words of 64 parity bits
 
@@ -335,9 +336,12 @@ def _rest(spark: SparkSession, crowd: DataFrame, sets: DataFrame, roots: DataFra
     split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows"))
     split = staged(spark, split.filter("low < high").select("key", "rows"))
     placed = staged(spark, looked_up(placed, split, "key", crowd.count(), "rows").drop("rows"))
-    own = sets.join(placed.select("hi").distinct(), "hi", "left_semi")
-    shingles = own.select("hi", F.explode("shingles").alias("shingle"))
-    once = shingles.groupBy("shingle").agg(F.count("*").alias("times"), F.min("hi").alias("hi")).filter("times = 1")
+    # Sets of one key lie together, so a task counts the shingles that they have in common before any are sent.
+    homes = staged(spark, placed.groupBy("hi").agg(F.min("key").alias("home")))
+    own = sets.join(homes, "hi")
+    lying = own.select("hi", "shingles", "home").repartitionByRange("home", "hi").sortWithinPartitions("home", "hi")
+    counted = lying.select("hi", "shingles").mapInArrow(tidy(_counted), "shingle long, times long, hi long")
+    once = counted.groupBy("shingle").agg(F.sum("times").alias("times"), F.min("hi").alias("hi")).filter("times = 1")
     alone = once.groupBy("hi").agg(F.count("*").alias("alone"))
     names = [f"mark_{i}" for i in range(_MARKS)]
     marks = own.select("hi", "shingles").mapInArrow(tidy(_marked), ", ".join(["hi long", *(f"{m} long" for m in names)]))
@@ -354,6 +358,18 @@ def _rest(spark: SparkSession, crowd: DataFrame, sets: DataFrame, roots: DataFra
     return both.filter(19 * differ <= F.col("n") + F.col("n_2")).select(*_ordered("hi", "hi_2"))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each different ``shingle`` of some sets, in how many of them it is, and ``hi`` of one that has it."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _COUNTED_AT_ONCE):
+            part = batch.slice(at, _COUNTED_AT_ONCE)
+            lists = part.column(1)
+            row = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+            values, first, times = np.unique(lists.flatten().to_numpy(), return_index=True, return_counts=True)
+            columns = [pa.array(values), pa.array(times.astype(np.int64)), part.column(0).take(pa.array(row[first]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["shingle", "times", "hi"])
+
+
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``hi`` and the parity bits of a set: each bit in which two sets differ is a shingle in which they do."""
     for batch in batches:

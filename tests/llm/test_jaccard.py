@@ -99,6 +99,21 @@ def test_pairs_grow_with_the_texts_not_their_square(spark, documents, monkeypatc
     assert max(totals) <= 12  # a few for each text, of n / 2 in all
 
 
+def test_shingles_of_sets_that_lie_together_are_counted_before_they_are_sent():
+    """A row for each different shingle, not one for each shingle of each set."""
+    sets = [[*range(1, 61), 1000 + 2 * i, 1001 + 2 * i] for i in range(100)]
+    batch = pa.RecordBatch.from_pydict(
+        {"hi": pa.array(range(100, 200), pa.int64()), "shingles": pa.array([[], *sets[1:]], pa.list_(pa.int64()))}
+    )
+    (counted,) = jaccard._counted(iter([batch.slice(0, 100)]))
+    rows = {r["shingle"]: (r["times"], r["hi"]) for r in counted.to_pylist()}
+    assert len(rows) == counted.num_rows == 60 + 2 * 99
+    assert {rows[s][0] for s in range(1, 61)} == {99}
+    assert all(rows[s] == (1, 100 + i) for i in range(1, 100) for s in sets[i][60:])
+    (part,) = jaccard._counted(iter([batch.slice(98, 2)]))
+    assert part.num_rows == 60 + 2 * 2
+
+
 def test_groups_of_a_third_of_all_rows(spark, documents):
     rng = random.Random(3)
     texts = ["same text for all of these many rows and more"] * 150 + family(rng, 200, 150, 2)
