@@ -208,7 +208,8 @@ def _shared(spark: SparkSession, listed: DataFrame, params: JaccardParams) -> Da
 def buckets(spark: SparkSession, listed: DataFrame, params: JaccardParams) -> DataFrame:
     """``key``, ``hi``, ``n``, ``looks`` (chosen by this set), ``below``, ``met`` (sets of the key) and ``hub``.
 
-    Only keys that some set has chosen to look under are left.
+    Only keys that some set has chosen to look under are left, with the sets of sizes that are looked for there.
+    Under keys of many sets ``met`` counts those.
     """
     rows = _shared(spark, listed, params)
     listing = ~F.col("below")
@@ -229,7 +230,9 @@ def buckets(spark: SparkSession, listed: DataFrame, params: JaccardParams) -> Da
     cost = F.max("met").over(Window.partitionBy("hi", "below", "segment"))
     offers = offers.withColumn("cost", F.when(F.col("unit") == 3, cost).otherwise(F.col("met")))
     offers = offers.withColumn("free", F.col("units") - F.sum("gain").over(by_set))
-    in_turn = by_set.orderBy("cost", "segment", "unit").rowsBetween(Window.unboundedPreceding, -1)
+    # Near copies lie under crowded contents; under a crowded empty segment, or one shingle from it, lie strangers.
+    offers = offers.withColumn("strangers", (F.col("met") > params.small_bucket) & (F.col("unit") != 1))
+    in_turn = by_set.orderBy("strangers", "cost", "segment", "unit").rowsBetween(Window.unboundedPreceding, -1)
     offers = offers.withColumn("before", F.col("free") + F.coalesce(F.sum("gain").over(in_turn), F.lit(0)))
     looks = offers.select("key", "hi", "n", "below", "met", "hub", (F.col("before") < F.col("needed")).alias("looks"))
     rest = rows.filter("unit = 4").select("key", "hi", "n", "below", "met", "hub", F.lit(False).alias("looks"))
@@ -239,9 +242,15 @@ def buckets(spark: SparkSession, listed: DataFrame, params: JaccardParams) -> Da
         F.first("met").alias("met"), F.first("hub").alias("hub"),
     )
     whole = staged(spark, whole)
-    used = whole.filter("looks").groupBy("key").agg(F.count("*").alias("looking"))
+    # A set looks for partners of its size or less, so others are of no use under the key.
+    used = whole.filter("looks").groupBy("key").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     weights = whole.groupBy("key").agg(F.count("*").alias("rows")).join(used, "key")
-    found = staged(spark, looked_up(whole, staged(spark, weights), "key", total, "rows").drop("looking", "rows"))
+    found = looked_up(whole, staged(spark, weights), "key", total, "rows").filter("10 * n >= 9 * low AND n <= high")
+    found = found.drop("low", "high", "rows")
+    many = staged(spark, found.filter(F.col("met") > params.small_bucket).drop("met"))
+    left = staged(spark, many.groupBy("key").agg(F.count("*").alias("met")).filter("met > 1"))
+    many = staged(spark, looked_up(many, left, "key", many.count(), "met"))
+    found = found.filter(F.col("met") <= params.small_bucket).unionByName(many)
     discard(spark, rows)
     return found
 
@@ -330,6 +339,15 @@ def _stars(spark: SparkSession, crowded: DataFrame) -> DataFrame:
     return near.filter("hi <> hub").select(*_ordered("hi", "hub"))
 
 
+def _middles(spark: SparkSession, crowd: DataFrame) -> DataFrame:
+    """Pairs of each set of a crowded key with the one of its sets that meets the most others under such keys."""
+    meetings = staged(spark, crowd.groupBy("hi").agg(F.sum("met").alias("meetings")))
+    met = staged(spark, crowd.select("key", "hi").join(meetings, "hi"))
+    middles = met.groupBy("key").agg(F.max(F.struct("meetings", "hi"))["hi"].alias("middle"), F.count("*").alias("rows"))
+    near = looked_up(met, staged(spark, middles), "key", met.count(), "rows")
+    return near.filter("hi <> middle").select(*_ordered("hi", "middle"))
+
+
 def _rest(spark: SparkSession, crowd: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs under crowded keys that are in different components and can still be linked."""
     placed = crowd.join(_named_roots(sets, roots), "hi")
@@ -397,7 +415,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, params: JaccardParams | N
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("hi")).unionAll(crowded_ids).distinct()
     sets = _sets(spark, docs, listed, staged(spark, wanted), params.words)
     stars = _stars(spark, sets.join(crowded_ids, "hi", "left_semi"))
-    links = _linked(spark, sets, staged(spark, pairs.unionAll(stars).distinct()))
+    links = _linked(spark, sets, staged(spark, pairs.unionAll(stars).unionAll(_middles(spark, crowd)).distinct()))
     roots = component_roots(spark, links)
     rest = staged(spark, _rest(spark, crowd, sets, roots).distinct())
     if not rest.isEmpty():

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
@@ -114,6 +115,46 @@ def test_shingles_of_sets_that_lie_together_are_counted_before_they_are_sent():
     assert part.num_rows == 60 + 2 * 2
 
 
+def crowded_keys(spark, docs, params):
+    """Keys of many sets with all their (size, looks, met)."""
+    docs = docs.select("doc_id", "text")
+    listed = jaccard.staged(spark, docs.mapInArrow(jaccard.tidy(jaccard._listed(params.words)), jaccard._LISTED))
+    keys = defaultdict(list)
+    for r in jaccard.buckets(spark, listed, params).filter(F.col("met") > params.small_bucket).collect():
+        keys[r["key"]].append((r["n"], r["looks"], r["met"]))
+    return keys
+
+
+def test_crowded_keys_hold_only_sets_of_sizes_that_are_looked_for(spark, documents):
+    """Sets under a key that are too small for all that look there are not fetched, counted or compared."""
+    texts = [" ".join([*(f"w{k}" for k in range(n)), f"own{n}_{i}"]) for n in range(24, 60, 2) for i in range(3)]
+    rows = list(enumerate(texts))
+    keys = crowded_keys(spark, documents(rows), JaccardParams(small_bucket=2))
+    assert keys
+    for sets in keys.values():
+        looking = [n for n, looks, _ in sets if looks]
+        assert all(9 * min(looking) <= 10 * n and n <= max(looking) for n, _, _ in sets)
+        assert {met for _, _, met in sets} == {len(sets)}
+    assert found(spark, documents, rows, small_bucket=2) == brute(rows)
+
+
+def test_near_copies_of_one_text_are_brought_together_by_it(spark, documents, monkeypatch):
+    """Copies that share no band of least hashes need no pairs when all are linked to one of them."""
+    left = []
+    rest = jaccard._rest
+    monkeypatch.setattr(jaccard, "_rest", lambda *a: (left.append((d := rest(*a)).count()), d)[1])
+    monkeypatch.setattr(jaccard, "_stars", lambda spark, crowded: spark.createDataFrame([], "a long, b long"))
+    rng = random.Random(7)
+    words = [f"b{k}" for k in range(120)]
+    texts = [" ".join(words)]
+    for _ in range(80):
+        cut = sorted(rng.sample(range(120), 2))
+        texts.append(" ".join(f"x{rng.randrange(10**6)}" if k in cut else w for k, w in enumerate(words)))
+    rows = list(enumerate(texts))
+    assert found(spark, documents, rows, small_bucket=8) == brute(rows)
+    assert left == [0]
+
+
 def test_groups_of_a_third_of_all_rows(spark, documents):
     rng = random.Random(3)
     texts = ["same text for all of these many rows and more"] * 150 + family(rng, 200, 150, 2)
