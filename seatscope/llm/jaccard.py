@@ -13,8 +13,8 @@ empty segment, or one of one shingle together with its one-deletion neighbourhoo
 finds all sets that differ there in one shingle. The cheapest are taken, by their numbers of sets.
 
 Under a key of few sets all pairs are compared, exactly, set against set. Sets of keys with more than
-``small_bucket`` are first brought together by bands of least hashes: all that share a band are compared with
-one of them. This only saves work: what is then in one component needs no more pairs, and only what is not
+``small_bucket`` are first brought together: all that share such a key are compared with the one of them that
+meets most others, and all that share a band of least hashes with one of them. This only saves work: what is then in one component needs no more pairs, and only what is not
 goes on under its crowded keys, without a miss. Shingles that no other of these sets has count as
 differences, so of a linked pair one set has few of them, and only those with few are joined with the
 others of the key. Parity bits of both sets rule out, before sets are fetched, pairs that differ too much.
